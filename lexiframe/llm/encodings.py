@@ -28,6 +28,9 @@ CLASSES = 0x3200
 MU = 4.0
 PRUNE = 30.0
 PARTIAL = 3.0  #: nats a chain loses that repairs a line in part
+COARSE = 4.0  #: nats a chain may lose by single characters; a true one gains, as garbled characters are the rarer ones
+STEP = 500  #: lines scored together
+SWAP_CODES = 0x3000
 ALPHA = 20.0  #: pseudo-lines with the corpus-wide prior in each source and field
 ROUNDS = 3
 LOST = "lost"  #: chain of a line with replacement characters: certain, and beyond repair
@@ -125,33 +128,17 @@ def repaired(line: str, chain: str) -> str | None:
     return line
 
 
-def _swaps_for(line: str) -> list[str]:
-    """Chains of single-byte and multi-byte encodings that may apply: all whose wrong encoding can show the line's characters and whose
-    repaired line differs."""
-    high = {ch for ch in line if ch >= "\x80"}
-    out = []
-    cyr = any("Ѐ" <= ch < "Ԁ" for ch in high)
-    lat = any(ch < "ɐ" or " " <= ch < "☀" or "Ͱ" <= ch < "Ѐ" for ch in high)
-    for w in SINGLE:
-        if not high <= _known(w):
-            continue
-        if not cyr and w in ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"):
-            continue
-        for r in SINGLE:
-            if r != w and high <= _swap(r, w)[0]:
-                out.append(f"{r}>{w}")
-        if lat and w == "cp1252" or w in ("cp1251", "koi8-r") and cyr:
-            out += [f"{m}>{w}" for m in MULTI]
-    return out
+@lru_cache(None)
+def _single_chains() -> list[tuple[str, str]]:
+    """(right, wrong) pairs of single-byte encodings."""
+    return [(r, w) for r in SINGLE for w in SINGLE if r != w]
 
 
-@lru_cache(None)
-def _known(enc: str) -> frozenset:
-    return frozenset(high_chars(enc))
+_PAIR = re.compile(r"[^\x00-\x7f]{2}")
 
 
-def alternatives(line: str) -> list[tuple[str, str]]:
-    """(chain, repaired line) of all chains that fit a line."""
+def run_alternatives(line: str) -> list[tuple[str, str]]:
+    """(chain, repaired line) of the chains with multi-byte encodings that fit a line."""
     out = []
     for w in UTF8_READ_AS:
         got = undo_utf8(line, w)
@@ -161,12 +148,18 @@ def alternatives(line: str) -> list[tuple[str, str]]:
                 again = undo_utf8(got, w)
                 if again is not None:
                     out.append((f"utf-8>{w}>utf-8>{w}", again))
-    seen = {line, *(x for _, x in out)}
-    for chain in _swaps_for(line):
-        got = repaired(line, chain)
-        if got is not None and got not in seen:
-            seen.add(got)
-            out.append((chain, got))
+    if _PAIR.search(line):
+        for w in ("cp1252", "cp1251", "koi8-r"):
+            c = high_chars(w)
+            try:
+                data = bytes(c[ch] if ch >= "\x80" else ord(ch) for ch in line)
+            except KeyError:
+                continue
+            for m in MULTI:
+                try:
+                    out.append((f"{m}>{w}", data.decode(m)))
+                except UnicodeDecodeError:
+                    pass
     return out
 
 
@@ -218,6 +211,33 @@ class Model:
         c = cases.reshape(3, 3) + 1.0
         self.case = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
 
+    @property
+    def coarse(self) -> np.ndarray:
+        """Log-probability of each character on its own."""
+        if not hasattr(self, "_coarse"):
+            self._coarse = (np.log(self.uni[_class_of()]) + self.within)[_lower()].astype(np.float32)
+        return self._coarse
+
+    def swap_gains(self, lines: list[str]) -> np.ndarray:
+        """gains[chain, line]: what each pair of single-byte encodings would gain by single characters alone; far below zero where the
+        line has characters that the wrong encoding can't show."""
+        if not hasattr(self, "_swaps"):
+            table = np.full((len(_single_chains()), SWAP_CODES + 1), -1e6, np.float32)
+            table[:, :0x80] = 0
+            for k, (r, w) in enumerate(_single_chains()):
+                for cp, ch in _swap(r, w)[1].items():
+                    if cp < SWAP_CODES:
+                        table[k, cp] = self.coarse[ord(ch)] - self.coarse[cp]
+            self._swaps = table
+        raw = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32)
+        starts = np.concatenate([[0], np.flatnonzero(raw == 10)[:-1] + 1])
+        return np.add.reduceat(self._swaps[:, np.minimum(raw, SWAP_CODES)], starts, axis=1)
+
+    def coarse_score(self, lines: list[str]) -> np.ndarray:
+        raw = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32)
+        starts = np.concatenate([[0], np.flatnonzero(raw == 10)[:-1] + 1])
+        return np.add.reduceat(self.coarse[np.minimum(raw, 0xFFFF)], starts)
+
     def score(self, lines: list[str]) -> np.ndarray:
         if not lines:
             return np.zeros(0)
@@ -282,40 +302,72 @@ def score_lines(lines: DataFrame, model: Model) -> DataFrame:
     names = {c: i for i, c in enumerate(chain_names())}
     kind = lines.schema["doc_id"].dataType.simpleString()
 
+    def chains_of(m: Model, part: list[str]) -> list[list[tuple[int, float]]]:
+        """Chains of each line within PRUNE, coarse to fine: single characters first, bigrams and case for what is left."""
+        swaps = m.swap_gains(part)
+        cands: list[list[tuple[str, str]]] = []
+        for i, x in enumerate(part):
+            seen, mine = {x}, []
+            for chain, y in run_alternatives(x):
+                if y not in seen:
+                    seen.add(y)
+                    mine.append((chain, y))
+            high = sorted({ord(ch) for ch in x if ch >= "\x80"})
+            shown = {"".join(map(chr, high))}
+            for k in np.flatnonzero(swaps[:, i] > -COARSE):
+                r, w = _single_chains()[k]
+                table = _swap(r, w)[1]
+                as_ = "".join([table[ch] for ch in high])
+                if as_ not in shown:  # chains that differ elsewhere only are the same to this line
+                    shown.add(as_)
+                    y = x.translate(table)
+                    if y not in seen:
+                        seen.add(y)
+                        mine.append((f"{r}>{w}", y))
+            cands.append(mine)
+        flat = [y for mine in cands for _, y in mine]
+        if not flat:
+            return [[] for _ in part]
+        base, first = m.coarse_score(part), m.coarse_score(flat)
+        owner = np.repeat(np.arange(len(part)), [len(c) for c in cands])
+        keep = first - base[owner] > -COARSE
+        fine = m.score([x for x, c in zip(part, cands, strict=True) if c])
+        at = np.cumsum([bool(c) for c in cands]) - 1
+        got = iter(m.score([y for y, k in zip(flat, keep, strict=True) if k]))
+        out: list[list[tuple[int, float]]] = []
+        n = 0
+        for i, (x, mine) in enumerate(zip(part, cands, strict=True)):
+            row = []
+            for chain, y in mine:
+                if keep[n]:
+                    gain = float(next(got) - fine[at[i]])
+                    # a chain that leaves some of the line's characters beyond ASCII as they are explains only a part of the line
+                    if chain.startswith("utf-8") and {ch for ch in x if ch >= "\x80"} & set(y):
+                        gain -= PARTIAL
+                    if gain > -PRUNE:
+                        row.append((names[chain], gain))
+                n += 1
+            out.append(row)
+        return out
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for b in batches:
-            todo: list[str] = []
-            rows: list[tuple] = []
-            partial: dict[int, np.ndarray] = {}
             plain: dict[tuple, int] = {}
-            for d, k, s, f, x in zip(b["doc_id"], b["line_no"], b["source"], b["field"], b["line"], strict=True):
-                if "�" in x:
-                    rows.append((d, k, s, f, -1, [names[LOST]]))
-                    continue
-                alts = alternatives(x)
-                if not alts:
-                    plain[s, f] = plain.get((s, f), 0) + 1
-                    continue
-                rows.append((d, k, s, f, len(todo), [names[c] for c, _ in alts]))
-                # a chain that leaves some of the line's characters beyond ASCII as they are explains only a part of the line
-                high = {ch for ch in x if ch >= "\x80"}
-                partial[len(todo)] = np.array([PARTIAL if c.startswith("utf-8") and high & set(y) else 0.0 for c, y in alts])
-                todo.append(x)
-                todo += [y for _, y in alts]
-            ll = m.score(todo)
-            out = [(None, -1, s, f, n, None) for (s, f), n in plain.items()]
-            for d, k, s, f, at, ids in rows:
-                if at < 0:
-                    out.append((d, k, s, f, 1, [(ids[0], 1000.0)]))
-                    continue
-                gain = ll[at + 1 : at + 1 + len(ids)] - ll[at] - partial[at]
-                kept = [(i, float(g)) for i, g in zip(ids, gain, strict=True) if g > -PRUNE]
-                if kept:
-                    out.append((d, k, s, f, 1, kept))
-                else:
-                    plain[s, f] = plain.get((s, f), 0) + 1
-                    out.append((None, -1, s, f, 1, None))
+            out: list[tuple] = []
+            for at in range(0, len(b), STEP):
+                part = b.iloc[at : at + STEP]
+                lines_ = list(part["line"])
+                clean = [i for i, x in enumerate(lines_) if "�" not in x]
+                found = dict(zip(clean, chains_of(m, [lines_[i] for i in clean]), strict=True)) if clean else {}
+                for i, (d, k, s, f) in enumerate(zip(part["doc_id"], part["line_no"], part["source"], part["field"], strict=True)):
+                    if i not in found:
+                        out.append((d, k, s, f, 1, [(names[LOST], 1000.0)]))
+                    elif found[i]:
+                        out.append((d, k, s, f, 1, found[i]))
+                    else:
+                        plain[s, f] = plain.get((s, f), 0) + 1
+            out += [(None, -1, s, f, n, None) for (s, f), n in plain.items()]
             yield pd.DataFrame(out, columns=["doc_id", "line_no", "source", "field", "n", "alts"])
 
     return lines.mapInPandas(work, f"doc_id {kind}, line_no int, source string, field string, n long, alts array<struct<chain: int, gain: double>>")
