@@ -85,10 +85,17 @@ def composition_rows() -> list[tuple[str, str]]:
     return sorted(rows.items())
 
 
+_made: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    maps = spark.createDataFrame(mapping_rows(), "cp string, to array<struct<ch: string, cc: int>>")
-    comps = spark.createDataFrame(composition_rows(), "cluster string, whole string")
-    return F.broadcast(maps), F.broadcast(comps)
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        maps = spark.createDataFrame(mapping_rows(), "cp string, to array<struct<ch: string, cc: int>>")
+        comps = spark.createDataFrame(composition_rows(), "cluster string, whole string")
+        _made.clear()
+        _made[app] = (F.broadcast(maps), F.broadcast(comps))
+    return _made[app]
 
 
 def text_key(text: Column) -> list[Column]:
