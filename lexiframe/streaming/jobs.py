@@ -63,28 +63,29 @@ def stream_daily(events: DataFrame, key: str, at: str, lateness: str = "1 day")
     return with_measures(d).groupBy(F.window(at, "1 day")).agg(F.count("*").alias("jobs"), F.count_if("failed").alias("errors"), F.sum("duration_sec").alias("audio_sec"), F.sum("processing_time_sec").alias("proc_sec"), F.sum("queue_sec").alias("queue_sec")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "jobs", "errors", "audio_sec", "proc_sec", "queue_sec")
 
 
-def stream_states(events: DataFrame, key: str, at: str, hours: int = DETAIL_HOURS) -> DataFrame:
+def stream_states(events: DataFrame, key: str, at: str, hours: int = DETAIL_HOURS, lateness: str = "1 day") -> DataFrame:
     """Streaming merge of patches per job: emits (key, status, duration_sec, counted) at each change; a job's state is dropped `hours`
-    after its last event."""
+    after its last event, by event time."""
 
     def merge(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         status, seconds, counted = state.get if state.exists else (None, None, False)
-        newly = False
+        newly, latest = False, 0
         for b in batches:
+            latest = max(latest, int(b[at].max().timestamp() * 1000))
             for s, d in b.sort_values(at)[["status", "duration_sec"]].itertuples(index=False):
                 status = s if s is not None and not (isinstance(s, float) and s != s) else status
                 seconds = d if d is not None and d == d else seconds
                 if status in FINAL and not counted:
                     counted = newly = True
         state.update((status, seconds, counted))
-        state.setTimeoutDuration(hours * 3_600_000)
+        state.setTimeoutTimestamp(max(latest + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]], "status": [status], "duration_sec": [seconds], "counted": [newly]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(merge, f"{key} {kind}, status string, duration_sec double, counted boolean", "status string, seconds double, counted boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark(at, lateness).groupBy(key).applyInPandasWithState(merge, f"{key} {kind}, status string, duration_sec double, counted boolean", "status string, seconds double, counted boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def agents(events: DataFrame, agent: str) -> DataFrame:
