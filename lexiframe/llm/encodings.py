@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import durable
@@ -375,41 +375,47 @@ def score_lines(lines: DataFrame, model: Model) -> DataFrame:
 
 def posterior_lines(scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, line_no, source, field, chain, gain, posterior, p): the likeliest chain of each line with chains, its posterior, and p, the
-    posterior of any chain. Priors of a source and field are re-estimated `rounds` times; they are joined, so that their number has no
-    bound, and summed before they are shuffled."""
+    posterior of any chain. Priors of a source and field are re-estimated `rounds` times: one row per source and field with a map of its
+    chains is joined to the lines, so that their number has no bound, and sums are partial before they are shuffled. Lines stay whole
+    throughout; ties go to the chain named first."""
     names = chain_names()
     sizes = durable(scored.groupBy("source", "field").agg(F.sum("n").alias("lines")), "sizes")
     total = sizes.agg(F.sum("lines")).first()[0] or 0
     some = scored.where("doc_id is not null")
-    overall = {i: 1e-3 for i in range(len(names))}
+    overall = [1e-3] * len(names)
     priors = None
     for _ in range(rounds):
-        got = durable(_responsibilities(some, priors, sizes, overall).groupBy("source", "field", "chain").agg(F.sum("r").alias("r")), "priors")
+        flat = _responsibilities(some, priors, overall).select("source", "field", F.explode_outer("post").alias("x")).where("x is not null")
+        got = durable(flat.groupBy("source", "field", "x.chain").agg(F.sum("x.r").alias("r")), "priors")
         sums = {r["chain"]: r["r"] for r in got.groupBy("chain").agg(F.sum("r").alias("r")).collect()}  # one row per chain
-        overall = {i: (sums.get(i, 0.0) + 0.01) / (total + 1.0) for i in range(len(names))}
-        priors = got
-    last = _responsibilities(some, priors, sizes, overall)
-    out = last.groupBy("doc_id", "line_no").agg(F.first("source").alias("source"), F.first("field").alias("field"), F.max_by(F.struct("chain", "gain", "r"), F.struct("r", -F.col("chain"))).alias("b"), F.sum("r").alias("p"))
-    name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("b.chain") + 1)
+        overall = [(sums.get(i, 0.0) + 0.01) / (total + 1.0) for i in range(len(names))]
+        maps = got.groupBy("source", "field").agg(F.map_from_entries(F.collect_list(F.struct("chain", "r"))).alias("m"))
+        priors = maps.join(sizes, ["source", "field"])
+    last = _responsibilities(some, priors, overall)
+    best = F.array_max(F.transform("post", lambda x: F.struct(x["r"].alias("r"), (-x["chain"]).alias("back"), x["gain"].alias("gain"))))
+    out = last.select("doc_id", "line_no", "source", "field", best.alias("b"), F.aggregate("post", F.lit(0.0), lambda acc, x: acc + x["r"]).alias("p"))
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), 1 - F.col("b.back"))
     return out.select("doc_id", "line_no", "source", "field", name.alias("chain"), F.col("b.gain").alias("gain"), F.col("b.r").alias("posterior"), "p")
 
 
-def _responsibilities(some: DataFrame, priors: DataFrame | None, sizes: DataFrame, overall: dict[int, float]) -> DataFrame:
-    """(doc_id, line_no, source, field, chain, gain, r): posterior of each chain of each line."""
-    base = F.element_at(F.array(*[F.lit(overall[i]) for i in range(len(overall))]), F.col("a.chain") + 1)
-    flat = some.select("doc_id", "line_no", "source", "field", F.explode_outer("alts").alias("a")).where("a is not null")
-    flat = flat.select("doc_id", "line_no", "source", "field", F.col("a.chain").alias("chain"), F.col("a.gain").alias("gain"), base.alias("base"))
+def _responsibilities(some: DataFrame, priors: DataFrame | None, overall: list[float]) -> DataFrame:
+    """Adds post, array<struct<chain, gain, r>>: the posterior of each chain of each line."""
+    base = F.array(*[F.lit(x) for x in overall])
     if priors is None:
-        flat = flat.withColumn("pi", F.col("base"))
+        d = some.withColumn("m", F.expr("cast(null as map<int, double>)")).withColumn("lines", F.lit(0).cast("long"))
     else:
-        flat = flat.join(priors, ["source", "field", "chain"], "left").join(sizes, ["source", "field"], "left")
-        flat = flat.withColumn("pi", (F.coalesce("r", F.lit(0.0)) + ALPHA * F.col("base")) / (F.coalesce("lines", F.lit(0)) + ALPHA)).drop("r", "lines")
-    w = F.col("pi") * F.exp(F.least(F.col("gain"), F.lit(500.0)))
-    flat = flat.withColumn("w", w)
-    per = flat.groupBy("doc_id", "line_no").agg(F.collect_list(F.struct("source", "field", "chain", "gain", "pi", "w")).alias("c"))
-    per = per.select("doc_id", "line_no", "c", F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["w"]).alias("sum"), F.greatest(F.lit(1e-6), 1 - F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x["pi"])).alias("none"))
-    per = per.select("doc_id", "line_no", "sum", "none", F.explode_outer("c").alias("x")).where("x is not null")
-    return per.select("doc_id", "line_no", "x.source", "x.field", "x.chain", "x.gain", (F.col("x.w") / (F.col("sum") + F.col("none"))).alias("r"))
+        d = some.join(priors, ["source", "field"], "left")
+    known = F.coalesce("lines", F.lit(0))
+
+    def weigh(a: Column) -> Column:
+        own = F.coalesce(F.element_at("m", a["chain"]), F.lit(0.0))
+        pi = (own + ALPHA * F.element_at("base", a["chain"] + 1)) / (known + ALPHA)
+        return F.struct(a["chain"].alias("chain"), a["gain"].alias("gain"), pi.alias("pi"), (pi * F.exp(F.least(a["gain"], F.lit(500.0)))).alias("w"))
+
+    d = d.withColumn("base", base).withColumn("ws", F.transform("alts", weigh))
+    d = d.withColumn("sum", F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"])).withColumn("none", F.greatest(F.lit(1e-6), 1 - F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["pi"])))
+    post = F.transform("ws", lambda x: F.struct(x["chain"].alias("chain"), x["gain"].alias("gain"), (x["w"] / (F.col("sum") + F.col("none"))).alias("r")))
+    return d.select("doc_id", "line_no", "source", "field", post.alias("post"))
 
 
 def garbled_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
