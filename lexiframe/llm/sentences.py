@@ -24,7 +24,7 @@ BLOCK = 256  #: units are numbered in blocks of this many, so that counting stay
 
 # Abbreviations behind which a sentence goes on.
 ABBREVIATIONS = (
-    "prof dots b.t kv tel to'lq k mln mlrd tum sh проф доц кв тел ул руб т.е г гр им стр рис см млн млрд пр обл b.n dr mr mrs ms st vs no nr "
+    "prof dots b.t kv tel to'lq tolq k mln mlrd tum sh проф доц кв тел ул руб т.е г гр им стр рис см млн млрд пр обл b.n dr mr mrs ms st vs no nr "
     "i.e e.g approx fig jr sr av avda mme mlle m p env cf art vol bzw ca str vb yy tp ts π.χ κ κα δηλ डॉ श्री सुश्री प्रो"
 ).split()
 # Abbreviations of two words with a dot each.
