@@ -1,17 +1,17 @@
 """Problem 4: records of an evaluation split that stand again, exactly or almost, in the training split.
 
-Method: weighted cosine join. A text is the vector of its character grams, weighted by rarity. Grams are ranked by weight, and only
-the heaviest of each vector are put into the inverted lists, until the norm of the rest is below REST, less than the threshold: what a
-pair at the threshold shares outside both lists is at most REST, so its listed grams alone reach the difference. Partial products plus
-the residual norm prune pairs; the others get their exact product and, where the caller wants it, an edit distance.
+Method: complete filters before an edit distance, in blocks of texts of similar length. A pair within k edits differs in at most 2k letters,
+in at most 2qk of its q-grams, and leaves at most qk grams of a text without the same gram in the other near the same place: measured from
+the middle of each text, an unchanged gram moves by at most k / 2. Each of these is compared on bit sketches, whose collisions only lower
+the counts, so no pair within the limit is lost for any place and kind of its edits. What is left gets an exact edit distance.
 
-Weights come from counts over all texts in a table of fixed size (hashed grams): any weights that both sides share keep the join
-exact, so collisions cost pruning power only. Texts are joined once per distinct form: copies never meet each other.
+Texts are joined once per distinct form: copies never meet each other. Every text meets those of the other side whose length the limit
+allows, so the work grows with the product of both sides, at about a tenth of a microsecond a pair.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,11 +22,10 @@ from ..storage import durable
 from .edits import myers_distance
 from .forms import canonical_texts, text_key
 
-GRAM = 8
-THRESHOLD = 0.55
-REST = 0.48  #: norm of the grams of a text that aren't listed; the listed ones of a pair must make up for the difference to the threshold
-STEP = 500  #: pairs verified together
-BUCKETS = 1 << 18
+SLICE = 8192  #: texts of a side in a block, about
+STEP = 512  #: texts sketched together
+WIDTH = 16  #: half letters in a place of the sketch of places
+PLACED_BITS = 4096
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -35,143 +34,121 @@ def folded(form: Column) -> Column:
     return F.regexp_replace(F.lower(form), r"[^\p{L}\p{N}]", "")
 
 
-def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each gram, index of its text); a text shorter than q is one gram."""
+def _grams(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each gram, index of its text, its place); a text shorter than q has none."""
     lens = np.array([len(t) for t in texts], np.int64)
-    padded = [t if len(t) >= q else t + "\0" * (q - len(t)) for t in texts]
-    flat = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    plens = np.maximum(lens, q)
-    starts = np.concatenate([[0], np.cumsum(plens)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-    counts = plens - q + 1
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    counts = np.maximum(lens - q + 1, 0)
     owner = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = place + np.repeat(np.cumsum(lens) - lens, counts)
     h = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(q):
             h = (h ^ flat[at + j]) * np.uint64(_MIX)
             h ^= h >> np.uint64(29)
-    return h, owner
-
-
-def _vectors(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, gram, count), one per distinct gram of a text."""
-    h, owner = _grams(texts, q)
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    at = np.flatnonzero(first)
-    return owner[at], h[at], np.diff(np.append(at, len(h)))
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(17)).astype(np.int64) % BUCKETS
-
-
-def gram_weights(texts: DataFrame, text: str, q: int = GRAM) -> np.ndarray:
-    """Weight of each bucket, ln(1 + texts / texts with a gram of the bucket), counted over all texts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
-        for b in batches:
-            owner, h, _ = _vectors(list(b["t"]), q)
-            pairs = np.unique(owner * BUCKETS + _bucket(h))
-            total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
-            n += len(b)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"b": np.append(at, -1), "n": np.append(total[at], n)})
-
-    got = texts.select(F.col(text).alias("t")).mapInPandas(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(BUCKETS)
-    n = int(got.loc[got["b"] == -1, "n"].sum())
-    real = got[got["b"] >= 0]
-    df[real["b"].to_numpy(np.int64)] = real["n"].to_numpy(float)
-    return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
-
-
-def _weighted(texts: list[str], q: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, gram, component of the unit vector, weight), ordered by text and falling weight, then gram."""
-    owner, h, tf = _vectors(texts, q)
-    w = weights[_bucket(h)]
-    x = tf * w.astype(float)
-    norm = np.sqrt(np.bincount(owner, x * x, minlength=len(texts)))
-    order = np.lexsort((h, -w, owner))
-    owner, h, x, w = owner[order], h[order], x[order], w[order]
-    return owner, h, x / norm[owner], w
-
-
-def _postings(texts: DataFrame, weights: np.ndarray, q: int, rest_norm: float) -> DataFrame:
-    """(g, id, n, x): the listed grams of each text with their component. id is half of the text's key: should two texts share it, their
-    pairs are verified for both, so nothing else need be carried."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            owner, h, x, _ = _weighted(list(b["t"]), q, shared.value)
-            sq = x * x
-            ends = np.cumsum(sq)
-            starts = np.searchsorted(owner, np.arange(len(b)))
-            before = ends - sq - (ends[starts] - sq[starts])[owner]  # squared norm of the heavier grams of the same text
-            left = np.sqrt(np.maximum(1.0 - before, 0))  # norm of this gram and all lighter ones
-            keep = left >= rest_norm - 1e-9
-            o = owner[keep]
-            yield pd.DataFrame({"g": h[keep].astype(np.int64), "id": b["k1"].to_numpy()[o], "n": b["n"].to_numpy()[o], "x": x[keep].astype(np.float32)})
-
-    return texts.select("k1", F.col("text").alias("t"), F.length("text").alias("n")).mapInPandas(build, "g long, id long, n int, x float")
-
-
-def cosine_links(left: DataFrame, right: DataFrame, q: int = GRAM, threshold: float = THRESHOLD, max_edits: float | None = None) -> DataFrame:
-    """(a1, a2, b1, b2, cosine, edits, n): pairs of distinct texts of left and right with a cosine of at least threshold, and, if
-    max_edits is given, an edit distance of at most that share of the longer one.
-
-    left and right: (k1, k2, text), one row per distinct text, no nulls. Equal texts on both sides are linked with cosine 1. Empty
-    texts have no grams in common with others. edits is null if max_edits is.
+    return h, owner, place
+
+
+def _stepped(f: Callable[[list[str]], np.ndarray], texts: list[str]) -> np.ndarray:
+    return np.concatenate([f(texts[i : i + STEP]) for i in range(0, len(texts), STEP)])
+
+
+def _counted(texts: list[str], q: int, buckets: int, most: int) -> np.ndarray:
+    """Counts of hashed grams up to `most` in unary, as words of 64 bits: two texts differ in at most as many bits as grams."""
+
+    def sketch(part: list[str]) -> np.ndarray:
+        h, owner, _ = _grams(part, q)
+        b = ((h >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+        n = np.bincount(owner * buckets + b, minlength=len(part) * buckets)
+        return np.packbits((np.arange(most) < n[:, None]).reshape(len(part), -1), axis=1).view(np.uint64)
+
+    return _stepped(sketch, texts)
+
+
+def _placed(texts: list[str], q: int, share: float | None) -> np.ndarray:
+    """Hashed grams with their place from the middle; with `share`, at all places where a text within that share of edits may have them."""
+
+    def sketch(part: list[str]) -> np.ndarray:
+        h, owner, place = _grams(part, q)
+        n = np.array([len(t) for t in part], np.int64)[owner]
+        middle = 2 * place - n
+        reach = np.zeros(len(n), np.int64) if share is None else (n * (share / (1 - share)) + 1e-9).astype(np.int64)  # edits of the longest partner
+        lo, hi = (middle - reach) // WIDTH, (middle + reach) // WIDTH
+        bits = np.zeros((len(part), PLACED_BITS), bool)
+        for s in range(int((hi - lo).max(initial=0)) + 1):
+            k = lo + s <= hi
+            with np.errstate(over="ignore"):
+                x = (h[k] ^ (lo[k] + s).astype(np.uint64)) * np.uint64(_MIX)
+            bits[owner[k], ((x >> np.uint64(40)) % np.uint64(PLACED_BITS)).astype(np.int64)] = True
+        return np.packbits(bits, axis=1).view(np.uint64)
+
+    return _stepped(sketch, texts)
+
+
+def close_pairs(left: list[str], right: list[str], max_edits: float) -> Iterator[tuple[int, int, int]]:
+    """(index in left, index in right, edits) of all pairs whose edit distance is at most max_edits (below 1) of the longer."""
+    if not left or not right:
+        return
+    order = sorted(range(len(left)), key=lambda i: len(left[i]))
+    left = [left[i] for i in order]
+    an = np.array([len(t) for t in left], np.int64)
+    letters_a, letters_b = np.ascontiguousarray(_counted(left, 1, 32, 16).T), _counted(right, 1, 32, 16)
+    grams_a, grams_b = _counted(left, 2, 512, 2), _counted(right, 2, 512, 2)
+    placed = [(q, _placed(left, q, None), _placed(right, q, max_edits), _placed(left, q, max_edits), _placed(right, q, None)) for q in (3, 2)]
+    for j, t in enumerate(right):
+        lo, hi = np.searchsorted(an, len(t) * (1 - max_edits) - 1e-6), np.searchsorted(an, len(t) / (1 - max_edits) + 1e-6, "right")
+        differ = np.zeros(hi - lo, np.int64)
+        for a, b in zip(letters_a, letters_b[j], strict=True):
+            differ += np.bitwise_count(a[lo:hi] ^ b)
+        limit = (np.maximum(an[lo:hi], len(t)) * max_edits + 1e-9).astype(np.int64)
+        at = np.flatnonzero(differ <= 2 * limit - np.abs(an[lo:hi] - len(t)))
+        at = at[np.bitwise_count(grams_a[lo + at] ^ grams_b[j]).sum(1) <= 4 * limit[at]]
+        for q, a, b_near, a_near, b in placed:
+            at = at[np.bitwise_count(a[lo + at] & ~b_near[j]).sum(1) <= q * limit[at]]
+            at = at[np.bitwise_count(b[j] & ~a_near[lo + at]).sum(1) <= q * limit[at]]
+        for i in at.tolist():
+            e = myers_distance(left[lo + i], t, int(limit[i]))
+            if e <= limit[i]:
+                yield order[lo + i], j, e
+
+
+def edit_links(left: DataFrame, right: DataFrame, max_edits: float) -> DataFrame:
+    """(a1, a2, b1, b2, edits): all pairs of distinct texts of left and right with an edit distance of at most that share of the longer.
+
+    left and right: (k1, k2, text), one row per distinct text, no nulls or empty texts. Texts lie in bands of length such that a pair's
+    bands are the same or neighbours. A block is a slice of a band of left with a slice of the three bands of right.
     """
-    both = left.select("text").unionByName(right.select("text"))
-    weights = gram_weights(both, "text", q)
-    spark = left.sparkSession
-    a = _postings(left, weights, q, min(REST, threshold)).toDF("g", "a1", "an", "ax")
-    b = _postings(right, weights, q, min(REST, threshold)).toDF("g", "b1", "bn", "bx")
-    near = a["g"] == b["g"]
-    if max_edits is not None:
-        near = near & (F.abs(a["an"] - b["bn"]) <= F.greatest(a["an"], b["bn"]) * max_edits)
-    cand = (
-        a.join(b, near)
-        .groupBy("a1", "b1")
-        .agg(F.sum(F.col("ax") * F.col("bx")).alias("part"))
-        .where(F.col("part") + min(REST, threshold) >= threshold - 1e-5)
-        .select("a1", "b1")
-    )
-    cand = cand.join(left.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("text").alias("at")), "a1")
-    cand = cand.join(right.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("text").alias("bt")), "b1")
-    shared = spark.sparkContext.broadcast(weights)
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for c in (b.iloc[i : i + STEP] for b in batches for i in range(0, len(b), STEP)):
-            texts, code = np.unique(np.concatenate([c["at"].to_numpy(object), c["bt"].to_numpy(object)]).astype(str), return_inverse=True)
-            texts = [str(x) for x in texts]
-            owner, h, x, _ = _weighted(texts, q, shared.value)
-            starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-            vec = [dict(zip(h[s:e].tolist(), x[s:e].tolist(), strict=True)) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-            cos, edits = [], []
-            for i, j in zip(code[: len(c)], code[len(c) :], strict=True):
-                u, v = vec[i], vec[j]
-                if len(u) > len(v):
-                    u, v = v, u
-                cos.append(min(1.0, sum(y * v[g] for g, y in u.items() if g in v)))
-                if max_edits is None:
-                    edits.append(None)
-                elif cos[-1] < threshold:
-                    edits.append(-1)
-                else:
-                    limit = int(max(len(texts[i]), len(texts[j])) * max_edits + 1e-9)
-                    e = myers_distance(texts[i], texts[j], limit)
-                    edits.append(e if e <= limit else -1)
-            out = pd.DataFrame({k: c[k] for k in ("a1", "a2", "b1", "b2")} | {"cosine": cos, "edits": pd.array(edits, "Int32"), "n": np.maximum(c["at"].str.len(), c["bt"].str.len())})
-            keep = out["cosine"] >= threshold
-            yield out[keep & (out["edits"] >= 0).fillna(True)] if max_edits is not None else out[keep]
-
-    return cand.mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long, cosine double, edits int, n int")
+    unit = -float(np.log1p(-max_edits)) + 1e-6
+    band = F.floor(F.log(F.length("text")) / unit).cast("int")
+    left, right = left.withColumn("band", band), right.withColumn("band", band)
+    # one row per band, fewer than 200 at 15 % edits
+    an, own = ({r["band"]: r["count"] for r in d.groupBy("band").count().collect()} for d in (left, right))
+    bn = {k: sum(own.get(k + s, 0) for s in (-1, 0, 1)) for k in an}
+    slices = {k: (-(-an[k] // SLICE), -(-bn[k] // SLICE)) for k in an if bn[k]}
+    schema = "a1 long, a2 long, b1 long, b2 long, edits int"
+    if not slices:
+        return left.sparkSession.createDataFrame([], schema)
+
+    def count_of(side: int) -> Column:
+        pairs = [F.lit(x) for k, n in slices.items() for x in (k, n[side])]
+        return F.element_at(F.create_map(*pairs), F.col("band"))
+
+    def every(side: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), count_of(side) - 1))
+
+    blocks = min(sum(x * y for x, y in slices.values()), 2000)
+    key = ["band", "a_slice", "b_slice"]
+    a = left.where(F.col("band").isin(list(slices))).select("k1", "k2", "text", "band", F.pmod("k1", count_of(0)).cast("int").alias("a_slice"), every(1).alias("b_slice"))
+    b = right.withColumn("band", F.explode(F.array(*[F.col("band") + s for s in (-1, 0, 1)]))).where(F.col("band").isin(list(slices)))
+    b = b.select("k1", "k2", "text", "band", every(0).alias("a_slice"), F.pmod("k1", count_of(1)).cast("int").alias("b_slice"))
+
+    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        got = list(close_pairs(list(x["text"]), list(y["text"]), max_edits))
+        i, j, e = ([g[c] for g in got] for c in range(3))
+        return pd.DataFrame({"a1": x["k1"].to_numpy()[i], "a2": x["k2"].to_numpy()[i], "b1": y["k1"].to_numpy()[j], "b2": y["k2"].to_numpy()[j], "edits": e}) if got else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return a.repartition(blocks, *key).groupBy(*key).cogroup(b.repartition(blocks, *key).groupBy(*key)).applyInPandas(match, schema)
 
 
 def rows_with_fold(df: DataFrame, text: str, keep: list[str], min_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -186,12 +163,12 @@ def rows_with_fold(df: DataFrame, text: str, keep: list[str], min_chars: int) ->
 
 
 def cross_split_pairs(train: DataFrame, dev: DataFrame, row_id: str, text: str, max_edits: float = 0.15, min_chars: int = 30, keep: list[str] | None = None) -> DataFrame:
-    """(train_<kept>, dev_<kept>, cosine, edits): row pairs whose letters and digits, read without case and invisible differences, are
+    """(train_<kept>, dev_<kept>, edits): row pairs whose letters and digits, read without case and invisible differences, are
     within max_edits of the longer. Empty tables give no pair."""
     keep = [row_id, *(keep or [])]
     a_rows, a_texts = rows_with_fold(train, text, keep, min_chars)
     b_rows, b_texts = rows_with_fold(dev, text, keep, min_chars)
-    links = durable(cosine_links(a_texts, b_texts, max_edits=max_edits).select("a1", "a2", "b1", "b2", "cosine", "edits"), "links")
+    links = durable(edit_links(a_texts, b_texts, max_edits), "links")
     a = a_rows.select(*[F.col(c).alias(f"train_{c}") for c in keep], F.col("k1").alias("a1"), F.col("k2").alias("a2"))
     b = b_rows.select(*[F.col(c).alias(f"dev_{c}") for c in keep], F.col("k1").alias("b1"), F.col("k2").alias("b2"))
     return links.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).drop("a1", "a2", "b1", "b2")

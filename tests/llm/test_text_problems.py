@@ -140,6 +140,22 @@ def test_overlap_equals_brute_force(spark):
     assert overlap.cross_split_pairs(a.where("row_id < 0"), b, "row_id", "sentence").count() == 0
 
 
+def test_overlap_finds_scattered_edits_up_to_the_limit(spark):
+    rng = random.Random(11)
+    dev, train = [], []
+    for i in range(120):
+        n = rng.choice([30, 31, 34, 40, 60, 130, 300])
+        t = [rng.choice("abdeghiklmnoqrstuvyz") for _ in range(n)]
+        dev.append((1000 + i, "".join(t)))
+        for at in rng.sample(range(n), int(n * 0.15)):
+            t[at] = rng.choice(["", "x", "x", "x" + t[at]]) if i % 2 else "x"
+        train.append((i, "".join(t)))
+    want = {(i, 1000 + i) for (i, s), (_, t) in zip(train, dev, strict=True) if len(s) >= 30 and myers_distance(s, t) <= int(max(len(s), len(t)) * 0.15 + 1e-9)}
+    a, b = spark.createDataFrame(train, "row_id int, sentence string"), spark.createDataFrame(dev, "row_id int, sentence string")
+    got = {(r[0], r[1]) for r in overlap.cross_split_pairs(a, b, "row_id", "sentence").select("train_row_id", "dev_row_id").collect()}
+    assert got == want and len(want) > 90
+
+
 KNOWN = {"sotuvchi": "sotuvchi", "operator": "sotuvchi", "mijoz": "mijoz", "client": "mijoz", "?": "nomalum", "unknown": "nomalum"}
 
 
