@@ -28,9 +28,8 @@ CLASSES = 0x3200
 MU = 4.0
 PRUNE = 30.0
 PARTIAL = 3.0  #: nats a chain loses that repairs a line in part
-COARSE = 4.0  #: nats a chain may lose by single characters; a true one gains, as garbled characters are the rarer ones
 STEP = 500  #: lines scored together
-SWAP_CODES = 0x3000
+IMPOSSIBLE = -1e6  #: gain of a chain that can't have made a line
 ALPHA = 20.0  #: pseudo-lines with the corpus-wide prior in each source and field
 ROUNDS = 3
 LOST = "lost"  #: chain of a line with replacement characters: certain, and beyond repair
@@ -165,15 +164,23 @@ def run_alternatives(line: str) -> list[tuple[str, str]]:
 
 def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(code points, classes, case states, line ends) of lines, each closed by a line feed."""
-    joined = "\n".join(lines) + "\n"
-    raw = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    raw = _raw(lines)
+    return *_kinds(raw), np.flatnonzero(raw == 10)
+
+
+def _raw(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+
+
+def _kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(small letters, classes, case states) of code points."""
     low = _lower()[np.minimum(raw, 0xFFFF)]
     up = (low != raw) & (raw < 0x10000)
     letter = _letter()[np.minimum(raw, 0xFFFF)]
     case = np.where(up, 2, np.where(letter, 1, 0))
     low = np.where(raw < 0x10000, low, raw)
     cls = np.where(low < 0x3100, low, 0x3100 + np.minimum(low >> 8, 0xFF) * (low < 0x10000))
-    return low, cls, case, np.flatnonzero(raw == 10)
+    return low, cls, case
 
 
 @lru_cache(None)
@@ -186,8 +193,26 @@ def _letter() -> np.ndarray:
     return np.array([chr(c).islower() for c in range(0x10000)], bool)
 
 
-def _cells(cls: np.ndarray) -> np.ndarray:
-    a, b = cls[:-1], cls[1:]
+@lru_cache(None)
+def _shown() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each character that ASCII or a wrong encoding shows, -1 for others; what each pair of single-byte encodings makes of a row,
+    -1 if it can't have shown it; a signature of that)."""
+    chars = sorted(set(range(0x80)) | {ord(ch) for w in SINGLE for ch in high_chars(w)})
+    row = np.full(0x10000, -1, np.int64)
+    row[chars] = np.arange(len(chars))
+    to = np.full((len(chars), len(_single_chains())), -1, np.int64)
+    to[:0x80] = np.arange(0x80)[:, None]
+    for k, (r, w) in enumerate(_single_chains()):
+        for cp, ch in _swap(r, w)[1].items():
+            to[row[cp], k] = ord(ch)
+    with np.errstate(over="ignore"):
+        sign = (to + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.array(chars, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
+        sign = (sign ^ sign >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    own = to == np.array(chars)[:, None]
+    return row, to, np.where(own, np.uint64(0), sign ^ sign >> np.uint64(32))  # zero for a character that stays
+
+
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * 2654435761 + b * 40503 + (a * b) * 97) % CELLS
 
 
@@ -211,40 +236,52 @@ class Model:
         c = cases.reshape(3, 3) + 1.0
         self.case = np.log(c / c.sum(1, keepdims=True)).astype(np.float32)
 
-    @property
-    def coarse(self) -> np.ndarray:
-        """Log-probability of each character on its own."""
-        if not hasattr(self, "_coarse"):
-            self._coarse = (np.log(self.uni[_class_of()]) + self.within)[_lower()].astype(np.float32)
-        return self._coarse
-
-    def swap_gains(self, lines: list[str]) -> np.ndarray:
-        """gains[chain, line]: what each pair of single-byte encodings would gain by single characters alone; far below zero where the
-        line has characters that the wrong encoding can't show."""
-        if not hasattr(self, "_swaps"):
-            table = np.full((len(_single_chains()), SWAP_CODES + 1), -1e6, np.float32)
-            table[:, :0x80] = 0
-            for k, (r, w) in enumerate(_single_chains()):
-                for cp, ch in _swap(r, w)[1].items():
-                    if cp < SWAP_CODES:
-                        table[k, cp] = self.coarse[ord(ch)] - self.coarse[cp]
-            self._swaps = table
-        raw = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32)
-        starts = np.concatenate([[0], np.flatnonzero(raw == 10)[:-1] + 1])
-        return np.add.reduceat(self._swaps[:, np.minimum(raw, SWAP_CODES)], starts, axis=1)
-
-    def coarse_score(self, lines: list[str]) -> np.ndarray:
-        raw = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "replace"), np.uint32)
-        starts = np.concatenate([[0], np.flatnonzero(raw == 10)[:-1] + 1])
-        return np.add.reduceat(self.coarse[np.minimum(raw, 0xFFFF)], starts)
+    def pair_scores(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Log-probability of characters b behind characters a, both as small letters, classes and case states."""
+        p = (self.pairs[_cells(a[1], b[1])] + MU * self.uni[b[1]]) / (self.ones[a[1]] + MU)
+        return np.log(p) + self.within[np.minimum(b[0], 0xFFFF)] + self.case[a[2], b[2]]
+
+    def swaps(self, lines: list[str]) -> list[list[tuple[int, float]]]:
+        """For each line the pairs of single-byte encodings that can have garbled it and gain more than -PRUNE, with their gains. A swap
+        keeps the length of a line, so only pairs of characters with one beyond ASCII can change; each distinct one is scored once."""
+        row_of, to, sign = _shown()
+        out: list[list[tuple[int, float]]] = [[] for _ in lines]
+        raw = _raw(lines)
+        owner = np.cumsum(raw == 10) - (raw == 10)
+        row = np.where(raw < 0x10000, row_of[np.minimum(raw, 0xFFFF)], -1)
+        fits = np.bincount(owner, row < 0, minlength=len(lines)) == 0
+        before = np.concatenate([[10], raw[:-1]])
+        at = np.flatnonzero(((raw >= 0x80) | (before >= 0x80)) & fits[owner])
+        if not len(at):
+            return out
+        keys, code = np.unique(before[at] << 16 | raw[at], return_inverse=True)
+        a, b = keys >> 16, keys & 0xFFFF
+        here = self.pair_scores(_kinds(a), _kinds(b))
+        ya, yb = to[row_of[a]], to[row_of[b]]
+        there = self.pair_scores(_kinds(np.maximum(ya, 0)), _kinds(np.maximum(yb, 0)))
+        gains = np.where((ya < 0) | (yb < 0), IMPOSSIBLE, there - here[:, None]).astype(np.float32)
+        for lo in range(0, len(lines), STEP):
+            p, q = np.searchsorted(owner[at], [lo, lo + STEP])
+            if p == q:
+                continue
+            mine, starts = np.unique(owner[at[p:q]], return_index=True)
+            gain = np.add.reduceat(gains[code[p:q]], starts, axis=0)
+            sig = np.add.reduceat(sign[row[at[p:q]]], starts, axis=0)
+            i, k = np.nonzero((gain > -PRUNE) & (sig != 0))  # a line that stays as it is needs no chain
+            order = np.lexsort((k, sig[i, k], i))
+            i, k = i[order], k[order]
+            s = sig[i, k]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1])  # chains that differ elsewhere only are the same to this line
+            for x, c, g in zip(mine[i[new]].tolist(), k[new].tolist(), gain[i, k][new].tolist(), strict=True):
+                out[x].append((c, g))
+        return out
 
     def score(self, lines: list[str]) -> np.ndarray:
         if not lines:
             return np.zeros(0)
         low, cls, case, ends = _codes(lines)
-        a, b = cls[:-1], cls[1:]
-        p = (self.pairs[_cells(cls)] + MU * self.uni[b]) / (self.ones[a] + MU)
-        s = np.log(p) + self.within[np.minimum(low[1:], 0xFFFF)] + self.case[case[:-1], case[1:]]
+        s = self.pair_scores((low[:-1], cls[:-1], case[:-1]), (low[1:], cls[1:], case[1:]))
         cum = np.concatenate([[0.0], np.cumsum(s, dtype=np.float64)])
         # the line feed that closes a line is predicted; the first character follows the line feed before it
         first = np.concatenate([[0], ends[:-1]])
@@ -277,7 +314,7 @@ def train_model(lines: DataFrame) -> Model:
             if not clean:
                 continue
             low, cls, case, _ = _codes(clean)
-            pairs += np.bincount(_cells(cls), minlength=CELLS)
+            pairs += np.bincount(_cells(cls[:-1], cls[1:]), minlength=CELLS)
             ones += np.bincount(cls, minlength=CLASSES)
             chars += np.bincount(np.minimum(low, 0xFFFF), minlength=0x10000)
             cases += np.bincount(case[:-1] * 3 + case[1:], minlength=9)
@@ -303,51 +340,35 @@ def score_lines(lines: DataFrame, model: Model) -> DataFrame:
     kind = lines.schema["doc_id"].dataType.simpleString()
 
     def chains_of(m: Model, part: list[str]) -> list[list[tuple[int, float]]]:
-        """Chains of each line within PRUNE, coarse to fine: single characters first, bigrams and case for what is left."""
-        swaps = m.swap_gains(part)
+        """All chains of each line within PRUNE by the full score; of chains with the same repair the first named."""
+        out: list[list[tuple[int, float]]] = []
         cands: list[list[tuple[str, str]]] = []
-        for i, x in enumerate(part):
+        for x, swaps in zip(part, m.swaps(part), strict=True):
             seen, mine = {x}, []
             for chain, y in run_alternatives(x):
                 if y not in seen:
                     seen.add(y)
                     mine.append((chain, y))
-            high = sorted({ord(ch) for ch in x if ch >= "\x80"})
-            shown = {"".join(map(chr, high))}
-            for k in np.flatnonzero(swaps[:, i] > -COARSE):
-                r, w = _single_chains()[k]
-                table = _swap(r, w)[1]
-                as_ = "".join([table[ch] for ch in high])
-                if as_ not in shown:  # chains that differ elsewhere only are the same to this line
-                    shown.add(as_)
-                    y = x.translate(table)
-                    if y not in seen:
-                        seen.add(y)
-                        mine.append((f"{r}>{w}", y))
             cands.append(mine)
-        flat = [y for mine in cands for _, y in mine]
-        if not flat:
-            return [[] for _ in part]
-        base, first = m.coarse_score(part), m.coarse_score(flat)
-        owner = np.repeat(np.arange(len(part)), [len(c) for c in cands])
-        keep = first - base[owner] > -COARSE
-        fine = m.score([x for x, c in zip(part, cands, strict=True) if c])
-        at = np.cumsum([bool(c) for c in cands]) - 1
-        got = iter(m.score([y for y, k in zip(flat, keep, strict=True) if k]))
-        out: list[list[tuple[int, float]]] = []
-        n = 0
-        for i, (x, mine) in enumerate(zip(part, cands, strict=True)):
             row = []
-            for chain, y in mine:
-                if keep[n]:
-                    gain = float(next(got) - fine[at[i]])
+            for k, gain in swaps:
+                r, w = _single_chains()[k]
+                if not mine or x.translate(_swap(r, w)[1]) not in seen:
+                    row.append((names[f"{r}>{w}"], gain))
+            out.append(row)
+        some = [i for i, c in enumerate(cands) if c]
+        for lo in range(0, len(some), STEP):
+            now = some[lo : lo + STEP]
+            base = m.score(["", *[part[i] for i in now]])[1:]
+            got = iter(m.score(["", *[y for i in now for _, y in cands[i]]])[1:])
+            for i, was in zip(now, base, strict=True):
+                for chain, y in cands[i]:
+                    gain = float(next(got) - was)
                     # a chain that leaves some of the line's characters beyond ASCII as they are explains only a part of the line
-                    if chain.startswith("utf-8") and {ch for ch in x if ch >= "\x80"} & set(y):
+                    if chain.startswith("utf-8") and {ch for ch in part[i] if ch >= "\x80"} & set(y):
                         gain -= PARTIAL
                     if gain > -PRUNE:
-                        row.append((names[chain], gain))
-                n += 1
-            out.append(row)
+                        out[i].append((names[chain], gain))
         return out
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -355,18 +376,16 @@ def score_lines(lines: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             plain: dict[tuple, int] = {}
             out: list[tuple] = []
-            for at in range(0, len(b), STEP):
-                part = b.iloc[at : at + STEP]
-                lines_ = list(part["line"])
-                clean = [i for i, x in enumerate(lines_) if "�" not in x]
-                found = dict(zip(clean, chains_of(m, [lines_[i] for i in clean]), strict=True)) if clean else {}
-                for i, (d, k, s, f) in enumerate(zip(part["doc_id"], part["line_no"], part["source"], part["field"], strict=True)):
-                    if i not in found:
-                        out.append((d, k, s, f, 1, [(names[LOST], 1000.0)]))
-                    elif found[i]:
-                        out.append((d, k, s, f, 1, found[i]))
-                    else:
-                        plain[s, f] = plain.get((s, f), 0) + 1
+            lines_ = list(b["line"])
+            clean = [i for i, x in enumerate(lines_) if "�" not in x]
+            found = dict(zip(clean, chains_of(m, [lines_[i] for i in clean]), strict=True)) if clean else {}
+            for i, (d, k, s, f) in enumerate(zip(b["doc_id"], b["line_no"], b["source"], b["field"], strict=True)):
+                if i not in found:
+                    out.append((d, k, s, f, 1, [(names[LOST], 1000.0)]))
+                elif found[i]:
+                    out.append((d, k, s, f, 1, found[i]))
+                else:
+                    plain[s, f] = plain.get((s, f), 0) + 1
             out += [(None, -1, s, f, n, None) for (s, f), n in plain.items()]
             yield pd.DataFrame(out, columns=["doc_id", "line_no", "source", "field", "n", "alts"])
 

@@ -237,3 +237,18 @@ def test_garbled_documents(spark):
     got = {r["doc_id"]: r["text"] for r in encodings.repaired_documents(d).collect()}
     assert {i: got[i] for i in truth} == truth and got[302] == "    m�me"
     assert encodings.garbled_documents(d.where("doc_id < 0")).count() == 0
+
+
+def test_chains_that_lose_by_single_characters_are_scored(spark):
+    rng = random.Random(4)
+    ru = "платёж большой телефон магазин районов быстро ответов сегодня вопрос зелёный подарок потом".split()
+    fr = "déjà élève payé être hôtel répété très prêt numéro".split()
+    inv = {b: c for c, b in encodings.high_chars("cp1251").items()}
+    clean = [" ".join(rng.choice(ru if i % 20 else fr) for _ in range(9)) for i in range(200)]
+    bad = "".join(chr(b) if b < 0x80 else inv[b] for b in "élève déjà payé répété numéro prêt".encode("cp1252"))
+    rows = [(i, 0, "s", "diff", x) for i, x in enumerate([*clean, bad])]
+    lines = spark.createDataFrame(rows, "doc_id int, line_no int, source string, field string, line string")
+    model = encodings.train_model(lines.where("doc_id < 200"))
+    alts = {encodings.chain_names()[a["chain"]]: a["gain"] for a in encodings.score_lines(lines, model).where("doc_id = 200").first()["alts"]}
+    want = dict(zip(["was", "is"], model.score(["", bad, encodings.repaired(bad, "cp1252>cp1251")])[1:], strict=True))
+    assert alts["cp1252>cp1251"] == pytest.approx(want["is"] - want["was"], abs=0.01) and max(alts, key=alts.get) == "cp1252>cp1251"
