@@ -26,11 +26,12 @@ _SPLIT = re.compile(r"[\s_]+")
 _JOINED = "'’‘ʻʼ`´ʹ"
 _WORD = re.compile(rf"[^\W_]+(?:[{_JOINED}]+[^\W_]+|(?<=\d)[.,](?=\d)\d+)*")
 _DROP = str.maketrans("", "", _JOINED + ".,")
+_DROPPED = re.compile(r"['`]|\d[.,]\d")  #: what of _DROP an ASCII word may hold
 
 
 def words_of(text: str) -> list[str]:
     """Words in small letters; apostrophes inside words and points inside numbers fall out."""
-    return _WORD.findall(text.lower()) if text.isascii() and "'" not in text else [w for w in (x.translate(_DROP) for x in _WORD.findall(text.lower().replace("́", ""))) if w]
+    return _WORD.findall(text.lower()) if text.isascii() and not _DROPPED.search(text) else [w for w in (x.translate(_DROP) for x in _WORD.findall(text.lower().replace("́", ""))) if w]
 
 
 def item_pieces(items: list[tuple[int, str]], window: int, budget: int) -> dict[str, list[tuple[int, int]]]:

@@ -206,6 +206,15 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 30
 
 
+def test_leak_across_a_number_in_ascii(spark):
+    passage = "bir ikki narx 10.47 som va foo`bar yana 1,234.5 keldi"
+    rows = [(1, "# " + passage), (2, "é " + passage), (3, passage.replace("`", "'")), (4, passage.replace("10.47", "10.4 7"))]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    h = spark.createDataFrame([(9, passage)], "item_id int, passage string")
+    got = {r["doc_id"]: (r["words"], r["edits"]) for r in leaks.leaked_passages(d, "doc_id", "text", h, "item_id", "passage").collect()}
+    assert {k: got[k] for k in (1, 2, 3)} == dict.fromkeys((1, 2, 3), (10, 0)) and got.get(4, (0, 0))[0] < 10
+
+
 @pytest.mark.parametrize("text,chain", [("Köşe için «ğüş»", "utf-8>cp1252"), ("Плохо большой телефоны", "koi8-r>cp1251"), ("Плохо большой", "cp866>cp1251"), ("déjà reçu à", "cp1252>cp437"), ("城市盘子五，鞋子？", "gbk>cp1252"), ("Vélo où", "utf-8>cp1252>utf-8>cp1252")])
 def test_encoding_chains_round_trip(text, chain):
     steps = chain.split(">")
