@@ -73,7 +73,7 @@ def first_text(cols: list[Column]) -> Column:
 
 def sentence_ends(text: Column) -> Column:
     """Offsets behind runs of . ! ? … with the blanks (also U+00A0) that follow; a mark without a blank behind it ends nothing."""
-    parts = F.regexp_extract_all(text, F.lit(r"([\s\S]*?[.!?…]+[\s\x{A0}]+)"), F.lit(1))
+    parts = F.regexp_extract_all(text, F.lit(r"\G([\s\S]*?[.!?…]+[\s\x{A0}]+)"), F.lit(1))
     return F.slice(F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(p)))), 2, F.size(parts) + 1)
 
 

@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexiframe.operators import chunking, compare, contracts, dedup, diarize, gates, mixing, scoring, splits, weighting
+from lexiframe.plans import catalogue
+from lexiframe.plans.common import known_manifest
 
 
 @pytest.mark.parametrize("s,t,why", [(1.2, "abcdefgh", None), (30.0, "a" * 200, None), (1.0, "abcdefgh", "short"), (31.0, "a" * 300, "long"), (2.0, "abc", "text"), (2.0, "a" * 11, "cps"), (2.0, "a" * 53, "cps"), (2.0, "a" * 12, None), (2.0, "a" * 52, None), (None, "abcdefgh", "short"), (2.0, None, "text")])
@@ -182,6 +187,54 @@ def test_planners_conserve_text(duration):
     assert v1 is None or " ".join(p[2] for p in v1).split() == text.split()
 
 
+def _exhaustive(runs, bounds, text, duration):
+    reach = chunking.TEXT_TOLERANCE * len(text) / duration
+    spots = [((a + b) / 2, min(b - a, 1.0), (a + b) / 2 / duration * len(text)) for a, b in runs]
+    n0 = -int(-duration // 30)
+    for n in (n0, n0 + 1):
+        plans = []
+        for some in combinations(spots, n - 1):
+            cuts, cost = [0], 0.0
+            for _, quiet, target in some:
+                near = [b for b in bounds if b > cuts[-1] and abs(b - target) <= reach]
+                if not near:
+                    break
+                cuts.append(min(near, key=lambda b: abs(b - target)))
+                cost += abs(cuts[-1] - target) / len(text) - 0.01 * quiet
+            if len(cuts) == n:
+                pieces = chunking._assemble([x[0] for x in some], cuts[1:], text, duration)
+                if chunking._fits([(b - a, x) for a, b, x in pieces], chunking.CALLS):
+                    plans.append((cost, pieces))
+        if plans:
+            return min(plans, key=lambda x: x[0])
+    return None
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_planner_equals_exhaustive_search(seed):
+    rng = random.Random(seed)
+    duration = rng.uniform(31, 100)
+    runs = [(t, t + rng.uniform(0.3, 1.5)) for t in sorted(rng.uniform(1, duration - 3) for _ in range(14))]
+    text = " ".join("soz" * rng.randint(1, 3) + "." * (rng.random() < 0.3) for _ in range(int(duration * 2)))
+    got, _ = chunking.plan_search(runs, _bounds(text), text, duration)
+    want = _exhaustive(runs, _bounds(text), text, duration)
+    assert got == (want and want[1])
+
+
+def test_planner_of_long_samples():
+    text = "Bu gap bor edi. " * 450
+    runs = [(i - 0.2, i + 0.2) for i in range(2, 700, 2)]
+    got, why = chunking.plan_search(runs, _bounds(text), text, 700.0)
+    assert why is None and " ".join(p[2] for p in got).split() == text.split() and all(e - s <= 30 for s, e, _ in got)
+
+
+def test_every_long_sample_is_planned(spark, sf):
+    f, _ = catalogue()["long_sample_plans"]
+    paths = known_manifest(spark, sf).where("duration > 30").select("path")
+    got = f(spark, sf).select("path")
+    assert paths.count() > 0 and sorted(r[0] for r in got.collect()) == sorted(r[0] for r in paths.collect())
+
+
 def test_segment_planner_and_ranges():
     assert chunking.feasible_range(55, 1, 2) == (25.0, 30.0)
     ref = TEXT.split()[:90]
