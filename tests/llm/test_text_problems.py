@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,6 +160,42 @@ def test_overlap_finds_scattered_edits_up_to_the_limit(spark):
 KNOWN = {"sotuvchi": "sotuvchi", "operator": "sotuvchi", "mijoz": "mijoz", "client": "mijoz", "?": "nomalum", "unknown": "nomalum"}
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.05, 0.15, 0.3]), st.sampled_from(["ab", "abcdef", "abcdefghijklmnop"]))
+def test_cosine_join_loses_no_pair(seed, share, letters):
+    """Texts of 8 to 120 letters with scattered edits, any weights: the pairs within the limit are those of the plain edit distance."""
+    rng = random.Random(seed)
+    left = ["".join(rng.choices(letters, k=rng.randint(8, 120))) for _ in range(25)]
+    right = []
+    for t in left:
+        x = list(t)
+        for _ in range(int(rng.uniform(0, share * 1.1) * len(t))):
+            at, kind = rng.randrange(len(x)), rng.choice("sid")
+            x[at : at + (kind != "i")] = [] if kind == "d" else [rng.choice(letters)]
+            x = x or ["a"]
+        right.append("".join(x))
+    weights = np.random.default_rng(seed).uniform(0.1, 9, overlap.CELLS)
+    want = {}
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            k = int(max(len(a), len(b)) * share + 1e-9)
+            e = myers_distance(a, b, k)
+            if e <= k:
+                want[i, j] = e
+    assert {(i, j): e for i, j, e in overlap.close_pairs(left, right, share, weights)} == want
+
+
+def test_overlap_rows_count_links(spark):
+    """One row per linked row: copies share a class, links are counted and not expanded."""
+    t = "bu gap yetarli darajada uzun bo'lgan bitta gapdir"
+    a = spark.createDataFrame([(1, t, "x"), (2, t, "y"), (3, t.upper() + "!", "z"), (4, "butunlay boshqa narsa haqida uzun gap edi", "x"), (5, None, "x")], "row_id long, sentence string, k1 string").drop("k1")
+    b = spark.createDataFrame([(10, t.replace("uzun", "uzum")), (11, t)], "row_id long, sentence string")
+    got = {(r["split"], r["row_id"]): (r["class_id"], r["n_texts"], r["n_links"]) for r in overlap.cross_split_rows(a, b, ["row_id"], "sentence").collect()}
+    assert got.keys() == {("train", 1), ("train", 2), ("train", 3), ("dev", 10), ("dev", 11)}
+    assert got["train", 1][0] == got["train", 3][0] == got["dev", 11][0] != got["dev", 10][0]
+    assert got["train", 1][1:] == (2, 2) and got["dev", 10][1:] == (1, 3)
+
+
 @pytest.mark.parametrize(
     "segments,full,want",
     [
