@@ -14,7 +14,7 @@ from .forms import same_looking_pairs, with_form
 from .groups import assign_splits, parted_calls
 from .keys import known_call
 from .leaks import leaked_passages
-from .overlap import cross_split_pairs
+from .overlap import cross_split_pairs, cross_split_rows
 from .pieces import manifest_pieces
 from .quotas import draw_sample, stratum_report
 from .sentences import sentence_units
@@ -49,18 +49,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split_pairs(_t(spark, sf_dir, "train"), _t(spark, sf_dir, "dev"), "row_id", "sentence").select("train_row_id", "dev_row_id")
 
 
+def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per row with a counterpart in the other split, with its class and its number of links."""
+    return cross_split_rows(_t(spark, sf_dir, "train"), _t(spark, sf_dir, "dev"), ["row_id"], "sentence")
+
+
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances with a counterpart in the other split, and links, per split, src and call (null: from no call)."""
-    pairs = cross_split_pairs(_t(spark, sf_dir, "train"), _t(spark, sf_dir, "dev"), "row_id", "sentence", keep=["src", "path"])
+    rows = cross_split_rows(_t(spark, sf_dir, "train"), _t(spark, sf_dir, "dev"), ["row_id", "src", "path"], "sentence")
     m = _t(spark, sf_dir, "manifest")
     calls = m.select("path", known_call(F.col("call_id"), F.col("path")).alias("call_id")).where("path is not null").groupBy("path").agg(F.min("call_id").alias("call_id"))
-    sides = [pairs.select(F.lit(s).alias("split"), F.col(f"{s}_src").alias("src"), F.col(f"{s}_path").alias("path"), F.col(f"{s}_row_id").alias("row_id")) for s in ("train", "dev")]
-    both = sides[0].unionByName(sides[1]).groupBy("split", "src", "path", "row_id").agg(F.count("*").alias("n_links"))
-    return both.join(calls, "path", "left").groupBy("split", "src", "call_id").agg(F.count("*").alias("n_utterances"), F.sum("n_links").alias("n_links"))
+    return rows.join(calls, "path", "left").groupBy("split", "src", "call_id").agg(F.count("*").alias("n_utterances"), F.sum("n_links").alias("n_links"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest_pieces(_t(spark, sf_dir, "manifest"), _t(spark, sf_dir, "size_limits")).where("piece_no = 2").select("path").distinct()
+    """Paths with a second piece, as it was cut."""
+    second = manifest_pieces(_t(spark, sf_dir, "manifest"), _t(spark, sf_dir, "size_limits")).where("piece_no = 2")
+    # an aggregate: a filter would be pushed below the cuts and compute them again for each of its parts
+    return second.groupBy("path").agg(F.max(F.coalesce(F.col("end_s") - F.col("start_s"), F.col("end_pos") - F.col("start_pos"))).alias("size")).where("size > 0").select("path")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +91,9 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_containers(spark, sf_dir).where("piece_no = 2").select("doc_id").distinct()
+    """Documents that lie in more than one place of the containers."""
+    placed = p8_containers(spark, sf_dir).groupBy("doc_id").agg(F.min(F.struct("container", "start_byte")).alias("a"), F.max(F.struct("container", "start_byte")).alias("b"))
+    return placed.where("a != b").select("doc_id")
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +113,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p1_found, p1_splits, p2_found, p3_found, p3_forms, p4_found, p4_report, p5_found, p5_pieces, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
+    every = [p1_found, p1_splits, p2_found, p3_found, p3_forms, p4_found, p4_rows, p4_report, p5_found, p5_pieces, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
     return {f.__name__: f for f in every}
 
 
