@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..storage import bounded_rows, durable
 
 BUCKETS = 64
-BINS = 4096  #: the histogram is kept this fine; larger capacities are rounded up to so many steps
+BINS = 1 << 15  #: the histogram is kept this fine; larger capacities are rounded up to so many steps
 SUB = 50_000  #: items per sub-bucket that are ranked together
 #: Fixed value: what a byte-level tokenizer adds to the bytes of a text.
 END_MARKS = 1
@@ -126,7 +126,7 @@ def fill_containers(docs: DataFrame, doc_id: str, text: str, capacity: int, buck
     if capacity <= END_MARKS + 4:
         raise ValueError("the capacity must hold a character and the end mark")
     grain = max(1, -(-capacity // BINS))
-    items = _items(docs, doc_id, text, capacity)
+    items = durable(_items(docs, doc_id, text, capacity), "items")  # the texts are read once
     slot = F.least(F.ceil(F.col("tokens") / grain) * grain, F.lit(capacity)).cast("long")
     hist = items.groupBy(slot.alias("size")).agg(F.count("*").alias("n")).orderBy("size").collect()  # at most BINS rows
     if not hist:
@@ -141,7 +141,7 @@ def fill_containers(docs: DataFrame, doc_id: str, text: str, capacity: int, buck
         bucket = F.when(F.col("tokens") <= bounds[b], b).otherwise(bucket)
     subs = max(1, int(counts.sum()) // SUB)
     named = items.withColumn("bucket", bucket).withColumn("sub", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(subs)).cast("int"))
-    sub_counts = durable(named.groupBy("bucket", "sub").agg(F.count("*").alias("n")), "subs")
+    sub_counts = named.groupBy("bucket", "sub").agg(F.count("*").alias("n"))
     offset = Window.partitionBy("bucket").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sub_counts.select("bucket", "sub", F.coalesce(F.sum("n").over(offset), F.lit(0)).alias("base"))
     ranked = named.withColumn("rn", F.row_number().over(Window.partitionBy("bucket", "sub").orderBy("doc_id", "piece_no", "tokens")) - 1)

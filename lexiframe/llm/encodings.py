@@ -29,6 +29,7 @@ MU = 4.0
 PRUNE = 30.0
 PARTIAL = 3.0  #: nats a chain loses that repairs a line in part
 STEP = 500  #: lines scored together
+SPREAD = 20_000  #: lines of a scoring task
 IMPOSSIBLE = -1e6  #: gain of a chain that can't have made a line
 ALPHA = 20.0  #: pseudo-lines with the corpus-wide prior in each source and field
 ROUNDS = 3
@@ -389,7 +390,8 @@ def score_lines(lines: DataFrame, model: Model) -> DataFrame:
             out += [(None, -1, s, f, n, None) for (s, f), n in plain.items()]
             yield pd.DataFrame(out, columns=["doc_id", "line_no", "source", "field", "n", "alts"])
 
-    return lines.mapInPandas(work, f"doc_id {kind}, line_no int, source string, field string, n long, alts array<struct<chain: int, gain: double>>")
+    spread = max(lines.sparkSession.sparkContext.defaultParallelism, lines.count() // SPREAD)  # scoring costs far more than reading
+    return lines.repartition(spread).mapInPandas(work, f"doc_id {kind}, line_no int, source string, field string, n long, alts array<struct<chain: int, gain: double>>")
 
 
 def posterior_lines(scored: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -9,6 +9,7 @@ that partitioning through the generator and the broadcast joins, and the rebuild
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 LOOK_ALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J",
+    "ү": "y", "Ү": "Y", "ѵ": "v", "Ѵ": "V", "ӏ": "l", "Ӏ": "I", "օ": "o", "հ": "h", "ս": "u", "ո": "n", "ɡ": "g", "ɑ": "a", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "ο": "o", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
 # Apostrophes, hyphens and invisible characters.
@@ -54,27 +57,28 @@ def _one(cp: int) -> str:
     return "".join(LOOK_ALIKES.get(x, x) for x in flat)
 
 
+VOWEL, FINAL = range(0x1161, 0x1176), range(0x11A8, 0x11C3)  #: jamo that join the syllable before them
+
+
 @lru_cache(1)
 def mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
     """(code point, the code points it becomes with their combining classes) for each one that doesn't stay as it is. Bounded by
-    Unicode."""
-    rows = []
+    Unicode. Vowel and final jamo get the classes 1 and 2, so that they join their syllable."""
+    rows = [(chr(c), [(chr(c), k)]) for k, jamo in ((1, VOWEL), (2, FINAL)) for c in jamo]
     for cp in [0x09, 0x60, *range(0x80, sys.maxunicode + 1)]:
-        if 0xAC00 <= cp < 0xF900:  # Hangul syllables have one form; surrogates; private use
+        if 0xAC00 <= cp < 0xF900 or cp in VOWEL or cp in FINAL:  # Hangul syllables stay whole; surrogates; private use
             continue
         to = _one(cp)
         if to != chr(cp) or unicodedata.combining(chr(cp)):
-            rows.append((chr(cp), [(x, unicodedata.combining(x)) for x in to]))
+            rows.append((chr(cp), [(x, (x in map(chr, VOWEL)) + 2 * (x in map(chr, FINAL)) or unicodedata.combining(x)) for x in to]))
     return rows
 
 
 @lru_cache(1)
 def composition_rows() -> list[tuple[str, str]]:
-    """(decomposed cluster, composed cluster) for each code point that Unicode composes."""
+    """(decomposed cluster, composed cluster) for each code point that Unicode composes, and for syllables with a final jamo behind them."""
     rows: dict[str, str] = {}
-    for cp in range(0xA0, sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xF900:
-            continue
+    for cp in [*range(0xA0, 0xD7A4), *range(0xF900, sys.maxunicode + 1)]:
         ch = chr(cp)
         flat = unicodedata.normalize("NFD", ch)
         if flat != ch:
@@ -82,9 +86,38 @@ def composition_rows() -> list[tuple[str, str]]:
             whole = unicodedata.normalize("NFC", flat)
             if whole != flat:
                 rows[flat] = whole
+                if len(flat) == 3 and 0xAC00 <= cp <= 0xD7A3:
+                    rows[unicodedata.normalize("NFC", flat[:2]) + flat[2]] = whole
     return sorted(rows.items())
 
 
+@lru_cache(1)
+def pair_rows() -> dict[str, str]:
+    """Letter and mark -> composed letter, for the clusters that are no composition as a whole."""
+    out = {}
+    for cp in [*range(0xA0, 0xAC00), *range(0xF900, sys.maxunicode + 1)]:
+        two = unicodedata.decomposition(chr(cp)).split()
+        if len(two) == 2 and "<" not in two[0]:
+            flat = "".join(chr(int(x, 16)) for x in two)
+            if unicodedata.normalize("NFC", flat) == chr(cp):
+                out[flat] = chr(cp)
+    return out
+
+
+def composed(marks: Column) -> Column:
+    """The string of array<struct<cc, at, ch>> in the order of classes: each mark composes with what its letter has become, unless a mark
+    of its class that composed with nothing stands before it."""
+    pairs = F.from_json(F.lit(json.dumps(pair_rows())), "map<string,string>")
+    zero = F.struct(F.get(marks, 0)["ch"].alias("s"), F.lit("").alias("tail"), F.lit(0).alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        both = F.element_at(pairs, F.concat(acc["s"], x["ch"]))
+        joins = both.isNotNull() & (x["cc"] > acc["last"])
+        return F.struct(F.when(joins, both).otherwise(acc["s"]).alias("s"), F.when(joins, acc["tail"]).otherwise(F.concat(acc["tail"], x["ch"])).alias("tail"), F.when(joins, acc["last"]).otherwise(x["cc"]).alias("last"))
+
+    return F.aggregate(F.slice(marks, F.lit(2), F.size(marks)), zero, step, lambda acc: F.concat(acc["s"], acc["tail"]))
+
+
 _made: dict[str, tuple[DataFrame, DataFrame]] = {}
 
 
@@ -119,15 +152,10 @@ def canonical_texts(df: DataFrame, text: str) -> DataFrame:
     at = F.col("pos").cast("long") * 64 + F.col("sub")
     ordered = Window.partitionBy("k1", "k2").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, 0)
     based = mapped.select("k1", "k2", at.alias("at"), "x.ch", "x.cc", F.max(F.when(F.col("x.cc") == 0, at)).over(ordered).alias("base"))
-    clusters = based.groupBy("k1", "k2", "base").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cc", "at", "ch"))), lambda x: x["ch"]), "").alias("cluster"),
-        F.min("at").alias("at"),
-    )
-    # a cluster that is no composition as a whole keeps its last mark and composes the rest
-    head = F.expr("left(cluster, length(cluster) - 1)")
-    part = clusters.join(comps, "cluster", "left").withColumn("cluster2", F.when(F.col("whole").isNull() & (F.length("cluster") == 3) & F.col("cluster").rlike(r"\p{M}$"), head))
-    part = part.join(comps.toDF("cluster2", "whole2"), "cluster2", "left")
-    piece = F.coalesce("whole", F.concat("whole2", F.expr("right(cluster, 1)")), "cluster")
+    clusters = based.groupBy("k1", "k2", "base").agg(F.array_sort(F.collect_list(F.struct("cc", "at", "ch"))).alias("marks"), F.min("at").alias("at"))
+    clusters = clusters.withColumn("cluster", F.array_join(F.transform("marks", lambda x: x["ch"]), ""))
+    part = clusters.join(comps, "cluster", "left")
+    piece = F.coalesce("whole", F.when((F.size("marks") > 2) & ~F.col("cluster").rlike("^[ -~]*$"), composed(F.col("marks"))), "cluster")
     forms = part.select("k1", "k2", "at", piece.alias("c")).groupBy("k1", "k2").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]), "").alias("form")
     )
@@ -142,6 +170,15 @@ def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     return df.withColumn("_k1", k1).withColumn("_k2", k2).join(forms.toDF("_k1", "_k2", form), ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
 
+def same_looking_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
+    """(row_id, class_id, n_variants): one row per row whose text has variants, texts that look identical but differ as strings. class_id
+    stands for the common form. Nothing is paired, so a stock phrase costs no more than its rows."""
+    forms = canonical_texts(df, text).select(F.xxhash64("form").alias("class_id"), F.xxhash64("form", F.lit(1)).alias("c2"), "k1", "k2")
+    several = forms.groupBy("class_id", "c2").agg(F.count("*").alias("n_variants")).where("n_variants > 1")
+    texts = forms.join(several, ["class_id", "c2"])
+    return df.where(F.col(text).isNotNull()).select(row_id, *text_key(F.col(text))).join(texts, ["k1", "k2"]).select(row_id, "class_id", "n_variants")
+
+
 def same_looking_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id_a, row_id_b): pairs of rows whose texts look identical but differ as strings.
 

@@ -4,13 +4,15 @@ Method: pigeonhole edit matching. Each window of a test item is split into error
 budget of the window holds one of the pieces unchanged. The pieces are found exactly (one automaton for all items), and each hit is
 verified with Myers' bit-parallel distance over the window's surroundings.
 
-Texts are compared as words: letters, digits and marks in small letters, apostrophes dropped, everything else is a border. Test items
-are the query set; they are sent to the workers in blocks of checked size. The corpus is read once per block and never shuffled.
+Texts are compared as words: composed letters, digits and marks in small letters, apostrophes dropped, everything else is a border. Test
+items are the query set; they are sent to the workers in blocks of checked size. The corpus is read once per block and never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,17 +23,29 @@ from .edits import best_window
 
 WINDOW = 10  #: words of a window
 BUDGET = 1  #: edits of letters allowed in a window
-BLOCK = 20_000  #: test items per pass over the corpus
-_SPLIT = re.compile(r"[\s_]+")
+BLOCK = 16 << 20  #: characters of test items per pass over the corpus, about
 _JOINED = "'’‘ʻʼ`´ʹ"
-_WORD = re.compile(rf"[^\W_]+(?:[{_JOINED}]+[^\W_]+|(?<=\d)[.,](?=\d)\d+)*")
+_MARKS = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
+_UNSEEN = "\u0301\u00ad\u200b\u200c\u200d\u2060\ufeff"  #: stress marks that nothing composes with, and invisible characters
+_GONE = str.maketrans("", "", _UNSEEN)
+_PLAIN = r"[^\W_]+"
+_MARKED = rf"(?:[^\W_]+|[{_MARKS}]+)+"
+_REST = r"(?:[{j}]+{w}|(?<=\d)[.,](?=\d)\d+)*"
+_WORD, _MARKED_WORD = (re.compile(w + _REST.format(j=_JOINED, w=w)) for w in (_PLAIN, _MARKED))
+_HAS_MARK = re.compile(f"[{_MARKS}]")
 _DROP = str.maketrans("", "", _JOINED + ".,")
 _DROPPED = re.compile(r"['`]|\d[.,]\d")  #: what of _DROP an ASCII word may hold
 
 
 def words_of(text: str) -> list[str]:
-    """Words in small letters; apostrophes inside words and points inside numbers fall out."""
-    return _WORD.findall(text.lower()) if text.isascii() and not _DROPPED.search(text) else [w for w in (x.translate(_DROP) for x in _WORD.findall(text.lower().replace("́", ""))) if w]
+    """Words in small letters, composed; marks belong to their letters. Apostrophes inside words, points inside numbers, stress marks and
+    invisible characters fall out."""
+    low = text.lower()
+    if low.isascii():
+        return _WORD.findall(low) if not _DROPPED.search(low) else [x.translate(_DROP) for x in _WORD.findall(low)]
+    low = unicodedata.normalize("NFC", low).translate(_GONE)
+    found = (_MARKED_WORD if _HAS_MARK.search(low) else _WORD).findall(low)
+    return [w for w in (x.translate(_DROP) for x in found) if w]
 
 
 def item_pieces(items: list[tuple[int, str]], window: int, budget: int) -> dict[str, list[tuple[int, int]]]:
@@ -58,10 +72,11 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     columns are not read.
     """
     out = None
-    n = items.count()
-    for k in range(max(1, -(-n // BLOCK))):
-        part = items if n <= BLOCK else items.where(F.pmod(F.xxhash64(item_id), F.lit(-(-n // BLOCK))) == k)
-        rows = [(r[item_id], r[passage]) for r in part.select(item_id, passage).collect() if r[item_id] is not None and r[passage]]  # at most about BLOCK rows
+    size = items.agg(F.sum(F.char_length(passage))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK))
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k)
+        rows = [(r[item_id], r[passage]) for r in part.select(item_id, passage).collect() if r[item_id] is not None and r[passage]]  # about BLOCK characters
         found = _search(docs, doc_id, text, rows, items.schema[item_id].dataType.simpleString(), window, budget)
         out = found if out is None else out.unionByName(found)
     return out
@@ -114,16 +129,15 @@ def _search(docs: DataFrame, doc_id: str, text: str, rows: list[tuple[int, str]]
                     hits[i, word_at - off] = e
                     run = e - a
                     need = min(window, len(w))
-                    edits = 0
-                    if run < need:  # Myers over each window that holds the run
-                        edits = budget + 1
-                        for s in range(max(0, g - need), min(c, len(w) - need) + 1):
-                            pattern = " ".join(w[s : s + need])
-                            lo = max(0, a - (c - s) - budget)
-                            area = " ".join(words[lo : lo + need + 2 * budget])
-                            edits = min(edits, best_window(pattern, area)[0])
-                        if edits > budget:
-                            continue
+                    # Myers over the windows that hold the run; within a long run, over its first window
+                    edits = budget + 1
+                    for s in range(max(0, g - need), min(c, len(w) - need) + 1) if run < need else (c,):
+                        pattern = " ".join(w[s : s + need])
+                        lo = max(0, a - (c - s) - budget)
+                        area = " ".join(words[lo : lo + need + 2 * budget])
+                        edits = min(edits, best_window(pattern, area)[0])
+                    if edits > budget:
+                        continue
                     got = (run, -edits)
                     if i not in best or got > best[i][:2]:
                         best[i] = (run, -edits, a, c)

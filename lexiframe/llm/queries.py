@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .containers import capacity_of, fill_containers
 from .encodings import garbled_documents, repaired_documents
-from .forms import same_looking_pairs, with_form
+from .forms import same_looking_pairs, same_looking_rows, with_form
 from .groups import assign_splits, parted_calls
 from .keys import known_call
 from .leaks import leaked_passages
@@ -41,6 +41,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(_t(spark, sf_dir, "train"), "row_id", "sentence")
 
 
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose sentence stands in several spellings, with the class of the spellings."""
+    return same_looking_rows(_t(spark, sf_dir, "train"), "row_id", "sentence")
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_form(_t(spark, sf_dir, "train").select("row_id", "sentence"), "sentence").select("row_id", "form")
 
@@ -113,7 +118,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p1_found, p1_splits, p2_found, p3_found, p3_forms, p4_found, p4_rows, p4_report, p5_found, p5_pieces, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
+    every = [p1_found, p1_splits, p2_found, p3_found, p3_rows, p3_forms, p4_found, p4_rows, p4_report, p5_found, p5_pieces, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
     return {f.__name__: f for f in every}
 
 

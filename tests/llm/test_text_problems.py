@@ -298,3 +298,37 @@ def test_chains_that_lose_by_single_characters_are_scored(spark):
     alts = {encodings.chain_names()[a["chain"]]: a["gain"] for a in encodings.score_lines(lines, model).where("doc_id = 200").first()["alts"]}
     want = dict(zip(["was", "is"], model.score(["", bad, encodings.repaired(bad, "cp1252>cp1251")])[1:], strict=True))
     assert alts["cp1252>cp1251"] == pytest.approx(want["is"] - want["was"], abs=0.01) and max(alts, key=alts.get) == "cp1252>cp1251"
+
+
+def test_forms_unify_composition(spark):
+    """Hangul, Hindi, Vietnamese and long clusters: every canonical spelling gives the form that Unicode's composition gives."""
+    texts = ["한국어 문장입니다", "각 값", "हिन्दी में क़लम", "Tiếng Việt rất khó", "a\u0323\u0302\u0301\u0308 x", "e\u0301\u0323\u0302\u030c", "q\u0307\u0323\u0301", "ᄀ ᅡ"]
+    rows = [(i, v) for i, t in enumerate(texts) for v in {t, unicodedata.normalize("NFD", t), unicodedata.normalize("NFC", t)}]
+    rows.append((1, "가\u11a8 값"))  # a syllable with its final jamo apart
+    d = spark.createDataFrame(rows, "i int, t string")
+    got: dict[int, set] = {}
+    for r in forms.with_form(d, "t").collect():
+        got.setdefault(r["i"], set()).add(r["form"])
+    assert got == {i: {unicodedata.normalize("NFC", t)} for i, t in enumerate(texts)}
+
+
+def test_same_looking_rows(spark):
+    d = spark.createDataFrame([(1, "salom"), (2, "s\u0430lom"), (3, "salom"), (4, "boshqa"), (5, None)], "row_id long, sentence string")
+    got = {r["row_id"]: (r["class_id"], r["n_variants"]) for r in forms.same_looking_rows(d, "row_id", "sentence").collect()}
+    assert got.keys() == {1, 2, 3} and len(set(got.values())) == 1 and got[1][1] == 2
+
+
+def test_words_keep_their_marks():
+    assert leaks.words_of("हिन्दी में लिखा, है") == ["हिन्दी", "में", "लिखा", "है"]
+    for t in ("noël йод Việt", "बांग्ला ভাষা"):
+        assert leaks.words_of(unicodedata.normalize("NFD", t)) == leaks.words_of(unicodedata.normalize("NFC", t))
+    assert leaks.words_of("O\u2018zbek so\u00adz 10,5 за\u0301мок") == ["ozbek", "soz", "105", "замок"]
+
+
+def test_leaks_report_edits_of_each_hit(spark):
+    """Every hit is measured: an exact run has no edits, a changed letter one, two are out of the budget."""
+    item = "bir ikki uch tort besh olti yetti sakkiz toqqiz on"
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, item.replace("yetti", "yetta")), (3, item.replace("yetti", "yatta"))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, passage string")
+    got = {r["doc_id"]: (r["words"], r["edits"]) for r in leaks.leaked_passages(docs, "doc_id", "text", items, "item_id", "passage").collect()}
+    assert got == {1: (10, 0), 2: (6, 1)}
