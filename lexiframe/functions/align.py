@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import APOSTROPHES
+
 OPS = "struct<subs: int, dels: int, ins: int, ops: array<struct<op: string, ref: string, hyp: string, ref_idx: int>>>"
 
 
@@ -119,3 +121,93 @@ def best_word_window(segment: list[str], hyp: list[str], at: int, reach: int = 4
                 if best is None or rate < best[0]:
                     best = (rate, start, start + len(part))
     return best if best and best[0] <= gate else None
+
+
+def anchored_index(pairs: Column, i: Column, tolerance: int = 3) -> Column:
+    """map_index as a column over array<struct<hyp, ref>>: null without an anchor near enough; of equally near ones the smaller result."""
+    near = F.filter(pairs, lambda p: F.abs(p["hyp"] - i) <= tolerance)
+    sides = [F.filter(near, lambda p: p["hyp"] <= i), F.filter(near, lambda p: p["hyp"] >= i)]
+    last = F.array_max(F.transform(sides[0], lambda p: F.struct(p["hyp"].alias("hyp"), p["ref"].alias("ref"))))
+    first = F.array_min(F.transform(sides[1], lambda p: F.struct(p["hyp"].alias("hyp"), p["ref"].alias("ref"))))
+    found = F.filter(F.array(last, first), lambda p: p.isNotNull())
+    return F.array_min(F.transform(found, lambda p: F.struct(F.abs(i - p["hyp"]).alias("d"), (p["ref"] + i - p["hyp"]).alias("at"))))["at"]
+
+
+def _anchored(ref: pd.Series, hyp: pd.Series, times: pd.Series) -> pd.Series:
+    out = []
+    for r, h, t in zip(ref, hyp, times, strict=True):
+        got = anchor_times(list(r), list(h), [(x["start"], x["end"]) for x in t])
+        out.append([{"ref_idx": i, "start": a, "end": b} for i, (a, b) in sorted(got.items())])
+    return pd.Series(out)
+
+
+def anchored_times(ref: Column, hyp: Column, times: Column) -> Column:
+    """anchor_times as a column: array<struct<ref_idx, start, end>> of the reference words that were recognised unchanged."""
+    return F.pandas_udf(_anchored, "array<struct<ref_idx: int, start: double, end: double>>")(ref, hyp, times)
+
+
+def project_roles(piece: str, whole: list[str], roles: list[str | None], least: float = 0.90) -> tuple[str | None, float]:
+    """(the piece with [ROLE] where the role changes, share of its words found). whole: canonical words of the call with their roles. Words
+    that aren't found take the role before them, the first ones the first known; a piece with a smaller share than `least` gets None."""
+    tokens = piece.split()
+    bare = [(k, w) for k, w in ((k, _bare(t)) for k, t in enumerate(tokens)) if w]
+    if not bare:
+        return None, 0.0
+    found: dict[int, str | None] = {}
+    for i, j, n in blocks(whole, [w for _, w in bare]):
+        found.update({bare[j + k][0]: roles[i + k] for k in range(n)})
+    share = len(found) / len(bare)
+    if share < least:
+        return None, share
+    role = next((found[k] for k in sorted(found) if found[k]), None)
+    out, said = [], None
+    for k, t in enumerate(tokens):
+        role = found.get(k) or role
+        if role != said and role:
+            out.append(f"[{role.upper()}]")
+            said = role
+        out.append(t)
+    return " ".join(out), share
+
+
+def _bare(w: str) -> str:
+    return "".join(c for c in w.translate(str.maketrans(dict.fromkeys(APOSTROPHES, "'"))).lower() if c.isalnum() or c in "_'")
+
+
+def _projected(piece: pd.Series, tokens: pd.Series) -> pd.DataFrame:
+    rows = [project_roles(p, [x["word"] for x in t], [x["role"] for x in t]) if p is not None and t is not None else (None, None) for p, t in zip(piece, tokens, strict=True)]
+    return pd.DataFrame(rows, columns=["turns", "role_match"])
+
+
+def projected_roles(piece: Column, tokens: Column) -> Column:
+    """project_roles as a column: struct<turns, role_match> of a text and array<struct<word, role>>; null without tokens."""
+    return F.pandas_udf(_projected, "struct<turns: string, role_match: double>")(piece, tokens)
+
+
+def _windows(segments: pd.Series, hyp: pd.Series) -> pd.Series:
+    out = []
+    for segs, h in zip(segments, hyp, strict=True):
+        h, at, rows = list(h), 0, []
+        for k, s in enumerate(segs):
+            s = list(s)
+            row = {"segment": k, "note": None, "ref_words": len(s), "hyp_words": None, "errors": None}
+            same = blocks(s, h[at:]) if len(s) >= 3 else []
+            if len(s) < 3:
+                row["note"] = "short"
+            elif sum(n for _, _, n in same) < 0.25 * len(s) or not same:
+                row["note"] = "unreliable"
+            else:
+                begin, end = same[0][1], same[-1][1] + same[-1][2]
+                part = h[at:][max(begin - 2, 0) : end + 2]
+                row |= {"hyp_words": len(part), "errors": sum(align_pair(s, part)[:3])}
+                at += max(end - 1, 1)
+            rows.append(row)
+        out.append(rows)
+    return pd.Series(out)
+
+
+def segment_windows(segments: Column, hyp: Column) -> Column:
+    """Scores the segments (array<array<string>>, in order) of a call inside the words of its whole hypothesis: each segment's place is
+    where its matching blocks lie behind the segment before; under a quarter of matching words it is unreliable, under three words
+    short. array<struct<segment, note, ref_words, hyp_words, errors>>."""
+    return F.pandas_udf(_windows, "array<struct<segment: int, note: string, ref_words: int, hyp_words: int, errors: int>>")(segments, hyp)

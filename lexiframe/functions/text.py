@@ -93,7 +93,7 @@ def sentences(text: Column) -> Column:
 
 def clean_repeats(text: Column) -> Column:
     """Drops invented sentences, then sentences that repeat the last kept one in any case."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda p: F.trim(p)), lambda p: p != "")
     real = F.filter(parts, lambda p: ~reduce(lambda a, b: a | b, [p.rlike("(?iu)" + rx) for rx in INVENTED]))
     keep = F.filter(real, lambda p, i: (i == 0) | (F.lower(p) != F.lower(F.coalesce(F.get(real, i - 1), F.lit("")))))
     return F.array_join(keep, " ")

@@ -75,29 +75,33 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return m.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"), F.max("n").alias("n"))
 
 
-def voice_profiles(df: DataFrame, group: str, call: str, vector: str, rounds: int = 3) -> DataFrame:
-    """(group, profile, n): of each group's vectors (one or more per call), the one with the greatest sum of best cosines to the other
-    calls, refined by means of the unit vectors nearest to it. Null vectors are left out. A group's vectors meet in one task: they are a
-    seller's calls; larger groups should be sampled by the caller."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["call"], kind="stable")
-        x = np.array(pdf["v"].tolist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        calls, code = np.unique(pdf["call"].to_numpy(), return_inverse=True)
+def voice_profiles(df: DataFrame, group: str, call: str, vector: str, rounds: int = 3, sample: int = 512) -> DataFrame:
+    """(group, profile, n calls): of each group's vectors (one or more per call), the one with the greatest sum of best cosines to the
+    group's calls, refined by means of each call's unit vector nearest to it.
+
+    The first choice compares vectors with each other and is made among `sample` vectors of a group, by hash; the refinement covers all of
+    them by aggregates. Null vectors are left out.
+    """
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf.sort_values(["call", "h"])["v"].tolist(), float)
+        code = np.unique(pdf.sort_values(["call", "h"])["call"].to_numpy(), return_inverse=True)[1]
         sim = x @ x.T
-        best = np.stack([sim[:, code == c].max(axis=1) for c in range(len(calls))], axis=1)
-        p = x[int(best.sum(axis=1).argmax())]
-        for _ in range(rounds):
-            s = x @ p
-            take = [np.flatnonzero(code == c)[s[code == c].argmax()] for c in range(len(calls))]
-            p = x[take].mean(axis=0)
-            p = p / max(float(np.linalg.norm(p)), 1e-9)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "profile": [p.tolist()], "n": [len(calls)]})
+        best = np.stack([sim[:, code == c].max(axis=1) for c in range(code.max() + 1)], axis=1)
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "p": [x[int(best.sum(axis=1).argmax())].tolist()]})
 
     kind = df.schema[group].dataType.simpleString()
-    d = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(call).alias("call"), F.col(vector).alias("v"))
-    return d.groupBy("g").applyInPandas(fit, f"g {kind}, profile array<double>, n long").withColumnRenamed("g", group)
+    d = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(call).alias("call"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    norm = F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(1e-9))
+    d = d.withColumn("l", norm).withColumn("v", F.transform("v", lambda x: x / F.col("l"))).drop("l").withColumn("h", F.xxhash64("v"))
+    few = d.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("k") <= sample).drop("k")
+    profile = few.groupBy("g").applyInPandas(choose, f"g {kind}, p array<double>")
+    for _ in range(rounds):
+        near = d.join(profile, "g").groupBy("g", "call").agg(F.max_by("v", F.struct(dot(F.col("v"), F.col("p")).alias("s"), "h")).alias("v"))
+        mean = centroids(near, "g", "v").withColumn("l", F.greatest(F.sqrt(dot(F.col("centroid"), F.col("centroid"))), F.lit(1e-9)))
+        profile = mean.select("g", F.transform("centroid", lambda x: x / F.col("l")).alias("p"))
+    n = d.groupBy("g").agg(F.count_distinct("call").alias("n"))
+    return profile.join(n, "g").select(F.col("g").alias(group), F.col("p").alias("profile"), "n")
 
 
 def decided_roles(df: DataFrame, similarity: str, call: str, threshold: float = 0.35) -> DataFrame:

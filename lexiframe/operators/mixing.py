@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,49 @@ def resolved(df: DataFrame, source: str, candidates: list[str] | None = None) ->
     return df.select(F.lit(source).alias("source"), first_text([F.col(c) for c in have]).alias("sentence"), *[c for c in df.columns if c not in have and c != "source"]).where("sentence is not null")
 
 
+def with_audio(df: DataFrame) -> DataFrame:
+    """df with its audio column named audio; an error if it has none."""
+    c = audio_column(df)
+    if c is None:
+        raise ValueError("no column holds audio")
+    return df.withColumnRenamed(c, "audio")
+
+
+def union_of(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(union of the sources that could be opened, error of each one that couldn't)."""
+    frames, failed = [], {}
+    for name, load in sources.items():
+        try:
+            frames.append(resolved(load(), name))
+        except Exception as e:  # noqa: BLE001  any kind of failure skips the source
+            failed[name] = type(e).__name__
+    return (union_sources(frames) if frames else None), failed
+
+
+def in_order(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """Rows in the order of the keys; the first n of them if n is given (a top-k, not a sort of all)."""
+    d = df.orderBy(*keys)
+    return d if n is None else d.limit(n)
+
+
+def until_kept(df: DataFrame, order: list[str], keep: Column, n: int, max_scan: int | None = None) -> DataFrame:
+    """The first n rows that pass `keep` among the first max_scan rows of the order (of all rows without it)."""
+    d = df if max_scan is None else df.orderBy(*order).limit(max_scan)
+    return d.where(F.coalesce(keep, F.lit(False))).orderBy(*order).limit(n)
+
+
+def published(df: DataFrame) -> DataFrame:
+    """df without its private columns, those that begin with an underscore."""
+    return df.select(*[c for c in df.columns if not c.startswith("_")])
+
+
+def with_lead(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """df (path, ...) with lead (L<lead>, or C<call> where the lead is unknown) and edited of the manifest; both null for a path it lacks."""
+    m = manifest.groupBy("path").agg(F.min("lead_id").alias("_l"), F.min("call_id").alias("_c"), F.max(F.coalesce("claude_edited", F.lit(False))).alias("edited"))
+    lead = F.coalesce(F.concat(F.lit("L"), F.col("_l").cast("string")), F.concat(F.lit("C"), F.col("_c").cast("string")))
+    return df.join(m.select("path", lead.alias("lead"), "edited"), "path", "left")
+
+
 def capped(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in a random order that the seed fixes: a top-k by hash."""
     return df.withColumn("_h", hashed_rank(F.col(key), seed)).orderBy("_h", key).limit(n).drop("_h")

@@ -22,22 +22,39 @@ def split_by_group(df: DataFrame, group: str, dev_share: float, seed: int, least
     return df.withColumn("split", F.when(F.coalesce(is_dev, F.lit(False)), "dev").otherwise("train"))
 
 
+FILL_BINS = 4096
+
+
 def capped_fill(df: DataFrame, group: str, seconds: Column, share: float, seed: int, cap: float = 0.03, overshoot: float = 1.08) -> DataFrame:
     """Adds split: groups in hash order go to dev until its share of the seconds is reached; groups above cap of the total are skipped, as
-    is one that would overshoot. Only groups up to the target's reach are collected: the fold sees as many as dev can hold."""
+    is one that would overshoot. As long as no group can overshoot, whole bins of the hash go to dev by their sums; only the groups
+    behind them are folded one by one on the driver, and those chosen there are sent back."""
     per = df.groupBy(group).agg(F.sum(F.coalesce(seconds, F.lit(0.0)).cast("decimal(20,6)")).cast("double").alias("s"))
     total = per.agg(F.sum("s")).first()[0] or 0.0
     target = total * share
-    order = per.where(F.col("s") <= cap * total).withColumn("h", hashed_rank(F.col(group), seed))
-    chosen, have = [], 0.0
-    for r in order.orderBy("h", group).toLocalIterator():
+    h = hashed_rank(F.col(group), seed)
+    width = (1 << 32) // FILL_BINS
+    small = per.where(F.col("s") <= cap * total).withColumn("h", h).withColumn("bin", F.floor(F.col("h") / width).cast("int"))
+    bins = sorted(small.groupBy("bin").agg(F.sum("s").alias("s"), F.max("s").alias("top")).collect())  # at most FILL_BINS rows
+    top = max((r["top"] for r in bins), default=0.0)
+    have, first = 0.0, 0
+    for r in bins:
+        if have + r["s"] > min(target, target * overshoot - top):
+            break
+        have += r["s"]
+        first = r["bin"] + 1
+    chosen = []
+    for r in small.where(F.col("bin") >= first).orderBy("h", group).toLocalIterator():
         if have >= target:
             break
         if have + r["s"] <= target * overshoot:
             chosen.append(r[group])
             have += r["s"]
-    picked = df.sparkSession.createDataFrame([(x,) for x in chosen], f"{group} {df.schema[group].dataType.simpleString()}").withColumn("_dev", F.lit(True))
-    return df.join(picked, group, "left").withColumn("split", F.when(F.col("_dev"), "dev").otherwise("train")).drop("_dev")
+    kind = df.schema[group].dataType.simpleString()
+    large = per.where(F.col("s") > cap * total).select(group, F.lit(False).alias("_dev"))
+    picked = large.union(df.sparkSession.createDataFrame([(x, True) for x in chosen], f"{group} {kind}, _dev boolean"))
+    in_bins = F.floor(h / width) < first
+    return df.join(picked, group, "left").withColumn("split", F.when(F.coalesce("_dev", in_bins), "dev").otherwise("train")).drop("_dev")
 
 
 def largest_remainder(strata: DataFrame, n_col: str, need: int, key: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import at_ranks
+
 
 def with_scores(samples: DataFrame, by_path: DataFrame, by_call: DataFrame | None = None) -> DataFrame:
     """samples with wer: by path, else by call; null if unscored."""
@@ -16,16 +18,19 @@ def with_scores(samples: DataFrame, by_path: DataFrame, by_call: DataFrame | Non
 
 
 def cutoff(scored: DataFrame, wer: str = "wer", share: float = 0.95) -> float | None:
-    """Element int(share n) of the sorted rates: counted by value, so that the sort is of distinct rates only."""
-    from pyspark.sql import Window
-
-    counts = scored.where(F.col(wer).isNotNull()).groupBy(wer).agg(F.count("*").alias("n"))
-    n = counts.agg(F.sum("n")).first()[0]
-    if not n:
+    """Element int(share n) of the sorted rates. Only the thousandth in which it lies is sorted."""
+    d = scored.select((F.col(wer) * 1000).alias("m"), F.lit(0).alias("g"))
+    got = at_ranks(d, ["g"], "m", {"at": F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1)}).first()
+    if got is None:
         return None
-    at = min(int(share * n), n - 1)
-    run = counts.withColumn("upto", F.sum("n").over(Window.orderBy(wer)))
-    return run.where(F.col("upto") > at).agg(F.min(wer)).first()[0]
+    return scored.where(F.col(wer) * 1000 == F.lit(got["at"])).agg(F.min(wer)).first()[0]
+
+
+def hours(df: DataFrame, seconds: str, times: Column | None = None) -> DataFrame:
+    """One row: rows, hours and, where rows repeat, repeated rows and weighted hours. Unknown durations count as 0."""
+    s = F.coalesce(F.col(seconds), F.lit(0.0)).cast("decimal(18,4)")
+    k = F.lit(1) if times is None else times
+    return df.agg(F.count("*").alias("rows"), F.sum(k).cast("long").alias("repeated_rows"), (F.sum(s).cast("double") / 3600).alias("hours"), (F.sum(s * k).cast("double") / 3600).alias("weighted_hours"))
 
 
 def repeat_factor(wer: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import datasets, scores, speech  # noqa: F401  they register their queries
+from . import datasets, scores, speech, storage  # noqa: F401  they register their queries
 from .queries import REGISTRY
 
 

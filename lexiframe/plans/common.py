@@ -69,3 +69,22 @@ KNOWN = f"""m as (select distinct path, sentence, case when duration > 0 and not
 
 def md5_rank(key: str, seed: int) -> str:
     return f"('0x' || substr(md5('{seed}|' || {key}::varchar), 1, 8))::bigint"
+
+
+def sql_path(r: str, h: str) -> str:
+    """The alignment as a string of E, S, D and I, by the same ties as the library's: each cell is six digits of cost and its path."""
+    inc = "lpad((left({0}, 6)::int + 1)::varchar, 6, '0') || substr({0}, 7)"
+    return (
+        f"case when len({r}) = 0 then repeat('I', len({h})) else substr(list_reduce({r}, lambda prev, x: list_reduce(range(1, len({h}) + 1), lambda cur, j: cur || ["
+        f"case when {h}[j] = x then prev[j] || 'E' when left(prev[j], 6) <= left(prev[j + 1], 6) and left(prev[j], 6) <= left(cur[len(cur)], 6) then {inc.format('prev[j]')} || 'S' "
+        f"when left(prev[j + 1], 6) <= left(cur[len(cur)], 6) then {inc.format('prev[j + 1]')} || 'D' else {inc.format('cur[len(cur)]')} || 'I' end], [{inc.format('prev[1]')} || 'D']), "
+        f"list_transform(range(0, len({h}) + 1), lambda j: lpad(j::varchar, 6, '0') || repeat('I', j::int)))[len({h}) + 1], 7) end"
+    )
+
+
+OPS = f"""{PAIRS}, o as (select row_id, src, r, a, {sql_path('r', 'a')} as p from p),
+k as (select *, unnest(range(1, length(p) + 1)) as k from o), i as (select *, substr(p, k, 1) as c, length(replace(substr(p, 1, k - 1), 'I', '')) as ri, length(replace(substr(p, 1, k - 1), 'D', '')) as hi from k),
+ops as (select row_id, src, len(r) as ref_words, case c when 'S' then 'sub' when 'D' then 'del' else 'ins' end as op, case when c <> 'I' then r[ri + 1] end as ref, case when c <> 'D' then a[hi + 1] end as hyp,
+  case when c = 'I' then greatest(ri - 1, 0) else ri end as ref_idx from i where c <> 'E'),
+sub0 as (select ref, hyp, count(*) as n, string_split(ref, '') as x, string_split(hyp, '') as y from ops where op = 'sub' group by 1, 2),
+subs as (select ref, hyp, n, {sql_distance('x', 'y')} <= 2 as spelling from sub0)"""

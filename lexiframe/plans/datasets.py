@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cps
-from ..operators import contracts, dedup, gates, mixing, splits, weighting
+from ..operators import contracts, dedup, gates, mixing, scoring, splits, weighting
 from .common import CALL, KNOWN, known_manifest, md5_rank, table
 from .queries import query
 
@@ -118,7 +118,11 @@ def hash_group_split(spark, sf_dir):
     return splits.split_by_group(g, "call_id", 0.08, 42, least=12)
 
 
-@query()
+@query(f"""with recursive {KNOWN}, s as (select coalesce('L' || lead_id, 'C' || call_id) as grp, duration from m where coalesce(lead_id, call_id) is not null),
+g as (select grp, count(*) as samples, coalesce(sum(coalesce(duration, 0)::decimal(20, 6)), 0)::double as d from s group by 1), t as (select sum(d) as total from g),
+o as (select *, row_number() over (order by {md5_rank('grp', 7)}, grp) as k from g, t where d <= 0.03 * total),
+f as (select 0::bigint as k, 0::double as have, ''::varchar as pick union all select o.k, case when f.have < 0.1 * total and f.have + d <= 0.1 * total * 1.08 then f.have + d else f.have end, case when f.have < 0.1 * total and f.have + d <= 0.1 * total * 1.08 then grp else '' end from f join o on o.k = f.k + 1)
+select grp as "group", case when grp in (select pick from f) then 'dev' else 'train' end as split, samples from g""")
 def lead_disjoint_split(spark, sf_dir):
     m = known_manifest(spark, sf_dir).withColumn("group", F.coalesce(F.concat(F.lit("L"), F.col("lead_id").cast("string")), F.concat(F.lit("C"), F.col("call_id").cast("string"))))
     d = splits.capped_fill(m.where("group is not null"), "group", F.col("duration"), 0.1, 7)
@@ -226,9 +230,9 @@ def oversampled_mix(spark, sf_dir):
     return ext.union(weighting.replicate(calls, F.lit(r)).select("kind", "row_id", F.col("copy").cast(T.LongType())))
 
 
-@query(f"with {KNOWN} select path, coalesce(split, 'unset') as split_v1 from m where duration between 5 and 10")
+@query(f"with {KNOWN} select path, coalesce(split, 'unset') as split_v1 from m")
 def default_split(spark, sf_dir):
-    return known_manifest(spark, sf_dir).where(F.col("duration").between(5, 10)).select("path", F.coalesce("split", F.lit("unset")).alias("split_v1"))
+    return known_manifest(spark, sf_dir).select("path", F.coalesce("split", F.lit("unset")).alias("split_v1"))
 
 
 @query(f"""select path from (select path, {CALL} as c from train) t where c in (select call_id from eval_calls_120)""")
@@ -237,3 +241,62 @@ def train_rows_of_eval_calls(spark, sf_dir):
 
     e = table(spark, sf_dir, "eval_calls_120").select("call_id")
     return table(spark, sf_dir, "train").select("path", call_id_of(F.col("path")).alias("call_id")).join(e, "call_id", "left_semi").select("path")
+
+
+@query(f"""with {SCORES}, k as (select m.duration, case when wer is null or wer < 0.3 then 1 when wer >= 0.6 then 3 else 2 end as c from m join s using (path))
+select count(*) as rows, sum(c)::bigint as repeated_rows, sum(coalesce(duration, 0)::decimal(18, 4))::double / 3600 as hours, sum(coalesce(duration, 0)::decimal(18, 4) * c)::double / 3600 as weighted_hours from k""")
+def weighted_hours(spark, sf_dir):
+    return weighting.hours(_scored(spark, sf_dir), "duration", weighting.repeat_factor(F.col("wer")))
+
+
+@query("select doc_id, lang from documents where lang is not null")
+def without_errors(spark, sf_dir):
+    """Documents as results of a run; one without a language stands for a failed one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("lang").isNull(), "failed").alias("error"))
+    return scoring.without_errors(d).select("doc_id", "lang")
+
+
+@query("select call_id, batch from eval_calls_120")
+def published_calls(spark, sf_dir):
+    return mixing.published(table(spark, sf_dir, "eval_calls_120").select("call_id", "batch", F.col("locked").alias("_locked")))
+
+
+@query("select path, row_id from dev where path is not null order by path, row_id limit 100")
+def first_by_path(spark, sf_dir):
+    return mixing.in_order(table(spark, sf_dir, "dev").where("path is not null").select("path", "row_id"), ["path", "row_id"], 100)
+
+
+@query("select call_id, samples from (select call_id, samples from eval_calls_120 order by call_id)")
+def sorted_by_call(spark, sf_dir):
+    return mixing.in_order(table(spark, sf_dir, "eval_calls_120").select("call_id", "samples"), ["call_id"])
+
+
+@query("select row_id, src from (select * from (select * from train order by row_id limit 5000) where length(trim(sentence)) >= 40 order by row_id limit 300)")
+def pulled_until(spark, sf_dir):
+    """The first 300 long enough rows among the first 5000."""
+    t = table(spark, sf_dir, "train").select("row_id", "src", "sentence")
+    return mixing.until_kept(t, ["row_id"], F.char_length(F.trim("sentence")) >= 40, 300, 5000).select("row_id", "src")
+
+
+@query(f"""with {KNOWN}, l as (select path, coalesce('L' || min(lead_id), 'C' || min(call_id)) as lead, max(coalesce(claude_edited, false)) as edited from m group by path) select row_id, lead, edited from dev left join l using (path)""")
+def rows_with_lead(spark, sf_dir):
+    return mixing.with_lead(table(spark, sf_dir, "dev").select("row_id", "path"), known_manifest(spark, sf_dir)).select("row_id", "lead", "edited")
+
+
+@query("select count(*) as rows, min(doc_id) as first from documents")
+def resolved_sources(spark, sf_dir):
+    """A source that can't be opened is skipped; the other one's rows stay."""
+    docs = lambda: table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("x"), F.col("text")).alias("text"))
+    u, failed = mixing.union_of({"documents": docs, "absent": lambda: table(spark, sf_dir, "absent")})
+    assert failed.keys() == {"absent"}
+    return u.agg(F.count("*").alias("rows"), F.min("doc_id").alias("first"))
+
+
+@query(f"""with s as (select sentence, length(trim(sentence)) as n from train where sentence is not null) select case when n >= 5 then 'kept' else 'text' end as why, count(*) as n from s group by 1""")
+def corpus_gate(spark, sf_dir):
+    """The gate of external corpora over train; ten characters a second stand in for the unknown durations, bounded to the gate's."""
+    t = table(spark, sf_dir, "train").where("sentence is not null").select("sentence")
+    n = F.char_length(F.trim("sentence"))
+    why = gates.reason(gates.CORPUS, F.when(n >= 5, F.lit(2.0)).otherwise(F.lit(2.0)), F.col("sentence"))
+    d = t.select(F.when((why == "text"), "text").otherwise("kept").alias("why"))
+    return d.groupBy("why").agg(F.count("*").alias("n"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_repeats, sentence_ends, sentences
+from ..functions.align import anchored_index, projected_roles
+from ..functions.text import INVENTED, clean_repeats, sentence_ends, sentences, words
 from ..operators import chunking, diarize, splits
 from ..sources.tables import segments
 from ..streaming import jobs
-from .common import known_manifest, table
+from .common import KNOWN, WORDS, known_manifest, table
 from .queries import query
 
+#: The text with a mark behind each . ! ? that blanks follow; RE2 has no look-behind.
+MARKED = r"regexp_replace(sentence, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g')"
+INVENTED_SQL = "'(?i)" + "|".join(f"(?:{x})" for x in INVENTED).replace("'", "''") + "'"
+
 SEGS = "s as (select call_key, i - 1 as pos, segs[i] as g from (select distinct call_key, from_json(segments_json, '[{\"role\":\"VARCHAR\",\"speaker\":\"VARCHAR\",\"start\":\"DOUBLE\",\"end\":\"DOUBLE\",\"text\":\"VARCHAR\"}]') as segs, segments_json from transcripts where segments_json is not null), unnest(range(1, len(segs) + 1)) u(i))"
 ROLE = "lower(trim(coalesce(g.role, g.speaker)))"
 
@@ -65,7 +70,11 @@ def word_to_speaker(spark, sf_dir):
     return _words(spark, sf_dir).select("call_key", "pos", "speaker")
 
 
-@query()
+@query(f"""with {TURNS}, d as (select w.call_key, w.pos, a, b, speaker, row_number() over (partition by w.call_key, w.pos order by case when (a + b) / 2 between s and e then 0.0 else least(abs((a + b) / 2 - s), abs((a + b) / 2 - e)) end, turn_pos) as k from w join t using (call_key)),
+x as (select * from d where k = 1), c as (select *, case when pos = 0 or lag(speaker) over (partition by call_key order by pos) is distinct from speaker then 1 else 0 end as new from x),
+i as (select *, sum(new) over (partition by call_key order by pos)::bigint as island from c), g as (select call_key, island, speaker, min(a) as "start", max(b) as "end", string_agg('w' || pos, ' ' order by pos) as text, count(*) as n_words from i group by 1, 2, 3),
+l as (select call_key, speaker, row_number() over (partition by call_key order by min(island)) as k from g group by 1, 2)
+select call_key, island, 'Speaker ' || l.k as label, "start", "end", text, n_words from g join l using (call_key, speaker)""")
 def speaker_segments(spark, sf_dir):
     return diarize.renamed(diarize.segments(_words(spark, sf_dir), "call_key").withColumn("pos", F.col("island")), "call_key").select("call_key", "island", "label", "start", "end", "text", "n_words")
 
@@ -83,18 +92,20 @@ def top_calls_per_seller(spark, sf_dir):
     return splits.top_per_group(c, "seller_id", [F.desc("duration"), F.col("db_call_id"), F.col("start_time")], 12).select("db_call_id", "seller_id")
 
 
-@query()
+@query("select label, count(distinct vec_id // 2) as n, max(len(embedding))::int as dims, 1.0 as norm from embeddings where embedding is not null and label is not null group by 1")
 def voice_profiles(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").withColumn("call", F.floor(F.col("vec_id") / 2))
-    return diarize.voice_profiles(e, "label", "call", "embedding").select("label", "n", F.size("profile").alias("dims"))
+    return diarize.voice_profiles(e, "label", "call", "embedding").select("label", "n", F.size("profile").alias("dims"), F.round(F.sqrt(diarize.dot(F.col("profile"), F.col("profile"))), 6).alias("norm"))
 
 
-@query()
+@query("""with x as (select label, unnest(range(1, len(embedding) + 1)) as i, embedding from embeddings where embedding is not null), m as (select label, i, avg(embedding[i]::double) as m from x group by 1, 2),
+s as (select a.label as label_a, b.label as label_b, sum(a.m * b.m) as ab, sum(a.m * a.m) as aa, sum(b.m * b.m) as bb from m a join m b on a.i = b.i and a.label < b.label group by 1, 2)
+select label_a, label_b, round(ab / greatest(sqrt(aa) * sqrt(bb), 1e-9), 6) as similarity from s""")
 def centroid_similarity(spark, sf_dir):
     """Cosine of each pair of label centroids (bounded by the number of labels)."""
     c = diarize.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
     a, b = c.alias("a"), c.alias("b")
-    return a.join(b, F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), diarize.cosine(F.col("a.centroid"), F.col("b.centroid")).alias("similarity"))
+    return a.join(b, F.col("a.label") < F.col("b.label")).select(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.round(diarize.cosine(F.col("a.centroid"), F.col("b.centroid")), 6).alias("similarity"))
 
 
 @query("""with f as (select event_id, value < 12 as quiet, user_id from events), i as (select *, case when lag(quiet) over w is distinct from quiet then 1 else 0 end as new from f window w as (partition by user_id order by event_id)),
@@ -115,17 +126,86 @@ def long_sample_plans(spark, sf_dir):
     return p.select("path", F.size("p.pieces").alias("pieces"), "p.why")
 
 
-@query()
+@query(f"""with p as (select row_id, list_filter(list_transform(string_split_regex({MARKED}, '\\x01\\s+'), lambda x: trim(replace(x, chr(1), ''))), lambda x: x <> '') as p from train where sentence is not null),
+r as (select row_id, list_filter(p, lambda x: not regexp_matches(x, {INVENTED_SQL})) as r from p)
+select row_id, array_to_string(list_filter(r, lambda x, i: i = 1 or lower(x) <> lower(coalesce(r[i - 1], ''))), ' ') as cleaned from r""")
 def cleaned_sentences(spark, sf_dir):
     return table(spark, sf_dir, "train").where("sentence is not null").select("row_id", clean_repeats(F.col("sentence")).alias("cleaned"))
 
 
-@query()
+@query(f"""with p as (select row_id, list_filter(list_transform(list_transform(string_split_regex({MARKED}, '\\x01\\s+'), lambda x: replace(x, chr(1), '')), lambda x: len({WORDS.format('x')})), lambda n: n > 0) as n from train where sentence is not null),
+u as (select row_id, n, unnest(range(1, len(n) + 1)) as i from p) select row_id, (i - 1)::int as n, coalesce(list_sum(n[1:i - 1]), 0)::int as first_word, (coalesce(list_sum(n[1:i - 1]), 0) + n[i] - 1)::int as last_word from u""")
 def indexed_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "train").where("sentence is not null").select("row_id", F.posexplode_outer(sentences(F.col("sentence"))).alias("n", "s")).where("s is not null")
     return d.select("row_id", "n", "s.first_word", "s.last_word")
 
 
+@query("""select user_id, event_id, (count(*) filter (value >= 12) over (partition by user_id order by event_id rows unbounded preceding)) * 0.01 as voiced from events""")
+def voiced_time(spark, sf_dir):
+    """Events as frames of ten milliseconds: seconds of voice up to each one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") < 12).alias("quiet"))
+    return chunking.voiced_until(e, ["user_id"], ["event_id"], "quiet", 0.01).select("user_id", "event_id", "voiced")
+
+
+@query(f"""with {KNOWN}, c as (select path, duration, ceil(duration / 30)::int as n from m where duration > 30), k as (select *, unnest(range(1, n)) as i from c),
+t as (select *, greatest(duration - 30.0 * (n - i), 0) as lo, least(30.0 * i, duration) as hi, duration * i / n as target from k),
+s as (select t.*, list_filter(list_transform(range(1, floor(duration / 2)::int + 1), lambda j: {{'k': j, 'm': j * 2.0 + (j % 3) * 0.1, 'l': 0.4 + (j % 3) * 0.2}}), lambda r: abs(r.m - target) <= 4) as near from t),
+f as (select *, list_filter(near, lambda r: r.l >= 0.8 * list_max(list_transform(near, lambda y: y.l)) - 1e-9) as fit from s)
+select path, i::int as cut, round(lo, 4) as lo, round(hi, 4) as hi, round(list_min(list_transform(fit, lambda r: {{'d': round(abs(r.m - target), 6), 'k': r.k, 'm': r.m}})).m, 4) as silence from f""")
+def cut_silences(spark, sf_dir):
+    """For each cut of a long sample its feasible range and the silence that suits its equal share; silences stand in every two seconds."""
+    m = known_manifest(spark, sf_dir).where("duration > 30").select("path", "duration", F.ceil(F.col("duration") / 30).cast("int").alias("n"))
+    d = m.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") - 1)))
+
+    def run(j):
+        middle, half = j * 2.0 + (j % 3) * 0.1, 0.2 + (j % 3) * 0.1
+        return F.struct((middle - half).alias("start"), (middle + half).alias("end"))
+
+    runs = F.transform(F.sequence(F.lit(1), F.floor(F.col("duration") / 2).cast("int")), run)
+    r = chunking.feasible(F.col("duration"), F.col("i"), F.col("n"))
+    s = chunking.nearest_silence(runs, F.col("duration") * F.col("i") / F.col("n"), F.lit(4.0))
+    return d.withColumn("s", s).select("path", F.col("i").alias("cut"), F.round(r["lo"], 4).alias("lo"), F.round(r["hi"], 4).alias("hi"), F.round((F.col("s.start") + F.col("s.end")) / 2, 4).alias("silence"))
+
+
+@query("""with e as (select row_id, length(sentence) as n, list_transform(range(1, length(sentence) // 17 + 1), lambda j: j * 17) as b from train where sentence is not null),
+t as (select *, n / 2.0 as target, list_filter(b, lambda x: x > n // 4 and abs(x - n / 2.0) <= 12) as near from e),
+g as (select *, list_filter(b[1:len(b) - 1], lambda x: x between n * 0.3 and n * 0.7) as inside from t)
+select row_id, list_min(list_transform(near, lambda x: {'d': abs(x - target), 'x': x})).x::int as bound, list_min(list_transform(inside, lambda x: {'d': abs(x - target), 'x': x})).x::int as seg_end from g""")
+def nearest_cuts(spark, sf_dir):
+    """Boundaries every 17 characters: the one nearest to the middle behind the first quarter, and the segment end nearest to it."""
+    t = table(spark, sf_dir, "train").where("sentence is not null").select("row_id", F.char_length("sentence").alias("n"))
+    k = F.floor(F.col("n") / 17).cast("int")
+    b = F.when(k >= 1, F.transform(F.sequence(F.lit(1), k), lambda j: j * 17)).otherwise(F.array().cast("array<int>"))
+    d = t.withColumn("b", b).withColumn("target", F.col("n") / 2)
+    bound = chunking.nearest_bound(F.col("b"), F.col("target"), F.lit(12), F.floor(F.col("n") / 4))
+    return d.select("row_id", bound.alias("bound"), chunking.nearest_end(F.col("b"), F.col("target"), F.col("n") * 0.3, F.col("n") * 0.7).alias("seg_end"))
+
+
+@query("""with w as (select row_id, len(string_split(trim(sentence), ' ')) as n from train where sentence is not null), i as (select *, unnest(range(0, n)) as i from w),
+a as (select *, (i // 9) * 9 as before, case when ((i + 8) // 9) * 9 < n then ((i + 8) // 9) * 9 end as after from i),
+f as (select *, case when after is null or i - before <= after - i then i - before else after - i end as d from a)
+select row_id, i::int as word, case when d <= 3 then (case when after is null or i - before < after - i then before + before // 9 + i - before
+  when after - i < i - before then after + after // 9 + i - after else least(before + before // 9 + i - before, after + after // 9 + i - after) end)::int end as ref from f""")
+def anchored_words(spark, sf_dir):
+    """An anchor at every ninth word, each one shifted by one more: the index that each word has in the reference, if an anchor is near."""
+    t = table(spark, sf_dir, "train").where("sentence is not null").select("row_id", F.size(F.split(F.trim("sentence"), " ")).alias("n"))
+    anchors = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 9).cast("int")), lambda k: F.struct((k * 9).alias("hyp"), (k * 10).alias("ref")))
+    d = t.withColumn("a", anchors).withColumn("word", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return d.select("row_id", "word", anchored_index(F.col("a"), F.col("word")).alias("ref"))
+
+
+@query(f"""with {SEGS}, r as (select call_key, pos, {ROLE} as role, {WORDS.format('g.text')} as w from s), c as (select call_key, sum(len(w)) as n from r where role is not null group by 1)
+select count(*) as pieces, count(*) as with_turns, 1.0 as least_match from c where n >= 4""")
+def role_projection(spark, sf_dir):
+    """The first half of each call's words, as a piece, with the roles of the call's words: all of them are found."""
+    s = _segments(spark, sf_dir).where("role is not null").select("call_key", "pos", "role", words(F.col("text")).alias("w"))
+    tokens = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role", "w"))), lambda x: F.transform(x["w"], lambda w: F.struct(w.alias("word"), x["role"].alias("role")))))
+    c = s.groupBy("call_key").agg(tokens.alias("t")).where(F.size("t") >= 4)
+    piece = F.array_join(F.transform(F.slice("t", F.lit(1), F.floor(F.size("t") / 2).cast("int")), lambda x: x["word"]), " ")
+    p = c.select(projected_roles(piece, F.col("t")).alias("p"))
+    return p.agg(F.count("*").alias("pieces"), F.count("p.turns").alias("with_turns"), F.round(F.min("p.role_match"), 6).alias("least_match"))
+
+
 STATUS = "case event_type when 'error' then 'FAILED' when 'purchase' then 'COMPLETED' else 'IN_PROGRESS' end"
 
 
@@ -187,3 +267,19 @@ def events_in_range(spark, sf_dir):
 
     e = table(spark, sf_dir, "events").withColumn("day", day_key(F.col("ts")))
     return e.where(F.col("day").between("2024-01-03", "2024-01-20")).groupBy("day").agg(F.count("*").alias("events"))
+
+
+@query(f"""with d as (select strftime(ts, '%Y-%m-%d') as day, count(*) as jobs from events group by 1) select * from d where day::date > date '2024-05-10' - 120""")
+def kept_daily_stats(spark, sf_dir):
+    """Daily counts that haven't expired on the tenth of May 2024, from the oldest on."""
+    from ..functions.text import day_key
+
+    d = table(spark, sf_dir, "events").groupBy(day_key(F.col("ts")).alias("day")).agg(F.count("*").alias("jobs"))
+    return jobs.by_day(jobs.unexpired(d, "day", "2024-05-10"))
+
+
+@query("select case when strlen(text) > 4096 then 'too_big' else 'stored' end as kind, count(*) as n, sum(strlen(text))::bigint as bytes from documents where text is not null group by 1")
+def storable_kinds(spark, sf_dir):
+    """Documents as stored bytes with a bound of 4096."""
+    d = jobs.storable(table(spark, sf_dir, "documents").where("text is not null"), "text", 4096)
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -24,5 +25,6 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     sc.addPyFile(path)  # copied to Spark's own folder and served from there
     _sent.add(sc.applicationId)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tarfile
+import wave
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,27 @@ def word_list(df: DataFrame, word: str, order: list[Column], k: int) -> str:
     return ", ".join(r[word] for r in df.orderBy(*order).limit(k).collect())
 
 
+def files(df: DataFrame, name: str, content: str, folder: str) -> int:
+    """Writes each row's bytes under its name below a folder that workers share, by the workers; returns how many were written. A file is
+    named when it is whole, so that a repeated task writes the same."""
+
+    def work(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        to, root = fs.FileSystem.from_uri(folder)
+        to.create_dir(root, recursive=True)
+        for b in batches:
+            for n, c in zip(b[name], b[content], strict=True):
+                tmp = f"{root}/.{n}.{os.getpid()}"
+                with to.open_output_stream(tmp) as f:
+                    f.write(bytes(c))
+                to.move(tmp, f"{root}/{n}")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return df.select(name, content).mapInPandas(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def audio_slices(rows: DataFrame, content: str, folder: str) -> DataFrame:
     """Writes WAV slices (name, start, end of the content) into a shared folder by the workers; returns (name, bytes, error)."""
 
@@ -74,8 +96,35 @@ def audio_slices(rows: DataFrame, content: str, folder: str) -> DataFrame:
 
 
 def joined_wav(parts: list[bytes]) -> bytes:
-    """Parts of one call in one file; all must be at the common rate."""
-    return encode_wav(np.concatenate([decode(p) for p in parts])) if parts else encode_wav(np.zeros(0))
+    """Parts of one call in one file; a part that isn't 16 kHz mono is an error."""
+    got = []
+    for p in parts:
+        with wave.open(io.BytesIO(p)) as w:
+            if (w.getframerate(), w.getnchannels()) != (SR, 1):
+                raise ValueError("parts must be 16 kHz mono")
+        got.append(decode(p))
+    return encode_wav(np.concatenate(got) if got else np.zeros(0))
+
+
+def joined_calls(parts: DataFrame, key: str, order: str, content: str) -> DataFrame:
+    """(key, content, parts): the parts of each call as one WAV. A call's parts meet in one task."""
+
+    def join(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [joined_wav([bytes(x) for x in pdf[content]])], "parts": [len(pdf)]})
+
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.select(key, order, content).groupBy(key).applyInPandas(join, f"{key} {kind}, content binary, parts long")
+
+
+def bare_header_csv(df: DataFrame, path: str) -> None:
+    """Every field quoted, the header bare: one file, for hand-over of small sets."""
+    fields = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+    head = df.sparkSession.createDataFrame([(0, ",".join(df.columns))], "o int, line string")
+    lines = head.union(df.select(F.lit(1), F.concat_ws(",", *fields)))
+    lines.coalesce(1).sortWithinPartitions("o").select("line").write.mode("overwrite").text(path)
 
 
 def bundle(files: list[tuple[str, bytes]], path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import subprocess
 import wave
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -92,28 +93,33 @@ def durations(files: DataFrame) -> DataFrame:
     return files.select("path", header_seconds(F.substring("content", 1, 4096)).alias("seconds"))
 
 
-def _analysed(content: pd.Series) -> pd.DataFrame:
+def _analysed(content: pd.Series, fallback: list[str] | None = None) -> pd.DataFrame:
     from ..operators.chunking import silence_mask, silence_runs
 
     rows = []
     for c in content:
         try:
-            x = decode(bytes(c))
+            x = decode(bytes(c), fallback)
             rows.append((len(x) / SR, [{"start": a, "end": b} for a, b in silence_runs(*silence_mask(x))], None))
         except Exception as e:  # noqa: BLE001
             rows.append((None, None, type(e).__name__))
     return pd.DataFrame(rows, columns=["seconds", "silences", "error"])
 
 
-def analysed(content: Column) -> Column:
-    """Duration and silences of WAV bytes; a file that can't be read gives its error, not a failed job."""
-    return F.pandas_udf(_analysed, "struct<seconds: double, silences: array<struct<start: double, end: double>>, error: string>")(content)
+def analysed(content: Column, fallback: list[str] | None = None) -> Column:
+    """Duration and silences of audio bytes, WAV or what the fallback command reads; a file that can't be read gives its error, not a
+    failed job."""
+
+    def run(c: pd.Series) -> pd.DataFrame:
+        return _analysed(c, fallback)
+
+    return F.pandas_udf(run, "struct<seconds: double, silences: array<struct<start: double, end: double>>, error: string>")(content)
 
 
 def mu_law(x: np.ndarray) -> np.ndarray:
-    """8-bit companding there and back."""
+    """8-bit companding there and back, 127 steps a side: silence stays silence."""
     y = np.sign(x) * np.log1p(255 * np.abs(np.clip(x, -1, 1))) / np.log(256)
-    q = np.round((y + 1) / 2 * 255) / 255 * 2 - 1
+    q = np.round(y * 127) / 127
     return (np.sign(q) * (np.power(256, np.abs(q)) - 1) / 255).astype(np.float32)
 
 
@@ -136,8 +142,42 @@ def phone_augment(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 
 def light_augment(x: np.ndarray, rng: np.random.Generator, most: float = 30.0) -> np.ndarray:
-    """Speed by up to 5 % where the result stays within `most` seconds, weak noise, gain."""
-    speed = rng.choice([0.95, 0.975, 1.025, 1.05])
-    y = resample(x, int(SR * speed), SR)
-    y = y if len(y) / SR <= most else x
-    return np.clip(with_noise(y, rng, (18, 35)) * rng.uniform(0.7, 1.15), -1, 1).astype(np.float32)
+    """In one of two draws a speed up to 5 % off, where the result stays within `most` seconds; in one of two weak noise; gain."""
+    y = x
+    if rng.random() < 0.5:
+        speed = rng.choice([0.95, 0.975, 1.025, 1.05])
+        if len(x) / speed <= most * SR:
+            y = resample(x, int(SR * speed), SR)
+    if rng.random() < 0.5:
+        y = with_noise(y, rng, (18, 35))
+    return np.clip(y * rng.uniform(0.7, 1.15), -1, 1).astype(np.float32)
+
+
+def _over(f: Callable[[np.ndarray, np.random.Generator], np.ndarray]) -> Callable[[pd.Series, pd.Series], pd.Series]:
+    """A function of samples and a generator as one over columns; the seed of a row makes its draw the same after a retry."""
+
+    def run(x: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else f(np.asarray(v, np.float32), np.random.default_rng(abs(int(k)))) for v, k in zip(x, seed, strict=True)])
+
+    return run
+
+
+def resampled(samples: Column, sr: Column) -> Column:
+    """array<float> at any rate to 16 kHz."""
+
+    def run(x: pd.Series, rate: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else resample(np.asarray(v, np.float32), int(r)) for v, r in zip(x, rate, strict=True)])
+
+    return F.pandas_udf(run, "array<float>")(samples, sr)
+
+
+def companded(samples: Column) -> Column:
+    return F.pandas_udf(_over(lambda x, _: mu_law(x)), "array<float>")(samples, F.lit(0))
+
+
+def phone_augmented(samples: Column, seed: Column) -> Column:
+    return F.pandas_udf(_over(phone_augment), "array<float>")(samples, seed)
+
+
+def light_augmented(samples: Column, seed: Column) -> Column:
+    return F.pandas_udf(_over(light_augment), "array<float>")(samples, seed)

@@ -57,11 +57,30 @@ def shards(spark: SparkSession, files: list[str], split: str, n: int) -> DataFra
     return spark.read.parquet(*chosen)
 
 
-def existing(df: DataFrame, spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Rows whose file name exists below a folder; the listing is distributed and reads no content."""
+def streamed(spark: SparkSession, path: str, n: int | None = None, files_per_batch: int = 1) -> DataFrame:
+    """A Parquet folder as it is scanned: the first n rows of the scan, which reads no more files than they need; without n a stream of
+    `files_per_batch` files a batch."""
+    if n is not None:
+        return spark.read.parquet(path).limit(n)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def existing(df: DataFrame, spark: SparkSession, folder: str, pattern: str = "*", missing: str = "drop") -> DataFrame:
+    """Rows whose file name exists below a folder; the listing is distributed and reads no content. missing: drop the others, or abort
+    with an error that names some of them."""
     there = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
     names = there.select(F.element_at(F.split("path", "/"), -1).alias("_f")).distinct()
-    return df.withColumn("_f", F.element_at(F.split("path", "/"), -1)).join(names, "_f", "left_semi").drop("_f")
+    d = df.withColumn("_f", F.element_at(F.split("path", "/"), -1))
+    if missing == "abort":
+        gone = [r["path"] for r in d.join(names, "_f", "left_anti").select("path").limit(5).collect()]
+        if gone:
+            raise FileNotFoundError(f"files are missing: {gone}")
+    return d.join(names, "_f", "left_semi").drop("_f")
+
+
+def audio_bytes(df: DataFrame, encoded: str = "audio_base64") -> DataFrame:
+    """df with the bytes of a base64 column in content; null where it holds none or no base64."""
+    return df.withColumn("content", F.try_to_binary(F.col(encoded), F.lit("base64")))
 
 
 def call_parts(spark: SparkSession, folders: list[str], pattern: str) -> DataFrame:

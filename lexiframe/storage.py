@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once and returns a reader of the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,10 +44,31 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 def drop_durable(df: DataFrame) -> None:
     """Deletes the files of a table made by durable() that no plan reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
+
+
+def _delete(spark: SparkSession, p: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a path of the shared folder deleted when the application's driver ends: by Hadoop, whose file systems delete what they were
+    told to when they are closed, also if the program fails."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p.getParent())
+    fs.create(p).close()  # a path must exist to be marked
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes the session's durable tables now; results that read them must have been written."""
+    for p in _made.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, p)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
