@@ -26,6 +26,8 @@ GIANTS = 2_000  #: a component with over 1 / GIANTS of the rows is placed before
 CHAINS = 4
 SWEEPS = 6  #: proposals per component and chain
 LABEL_WEIGHT = 0.5
+POOLS = 8  #: groups of the labels beyond the largest ones
+GIANT_STEPS = 20_000
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def linked_rows(manifest: DataFrame, split: Column | None = None) -> tuple[DataF
     calls = durable(calls, "calls")
     per_call = rows.groupBy("call_key", "label").agg(F.sum("n").alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
     per = per_call.join(calls, "call_key").groupBy("component", "label").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    comps = per.groupBy("component").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels"), F.min("lo").alias("first_split"), F.max("hi").alias("last_split"))
+    comps = durable(per.groupBy("component").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels"), F.min("lo").alias("first_split"), F.max("hi").alias("last_split")), "components")
     return calls, comps
 
 
@@ -125,14 +127,27 @@ def component_splits(comps: DataFrame, targets: list[tuple[str, float]], seed: i
         return spark.createDataFrame([], schema)
     labels = comps.select(F.explode("labels").alias("label", "c")).groupBy("label").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "label").limit(max_labels).collect()
     names = [r["label"] for r in labels]
+    others = F.map_filter("labels", lambda k, _: ~k.isin(names))
+    rest = comps.select(F.explode_outer(others).alias("label", "m")) if len(names) == max_labels else None
+    # labels beyond the largest count together, in hashed groups
+    pooled = [0] * POOLS
+    if rest is not None:
+        for r in rest.where("label is not null").groupBy(F.pmod(F.xxhash64("label"), F.lit(POOLS)).alias("b")).agg(F.sum("m").alias("c")).collect():
+            pooled[r["b"]] = r["c"]
+    pools = [b for b in range(POOLS) if pooled[b]]
+
+    def pool(b: int) -> Column:
+        mine = F.map_filter("labels", lambda k, _: ~k.isin(names) & (F.pmod(F.xxhash64(k), F.lit(POOLS)) == b))
+        return F.aggregate(F.map_values(mine), F.lit(0).cast("long"), lambda acc, x: acc + x).cast("double")
+
     share = np.array([max(0.0, s) for _, s in targets], float)
     share = share / share.sum()
     splits = [s for s, _ in targets]
-    sums = np.array([total["n"], *[r["c"] for r in labels]], float)
-    weights = np.array([1.0, *[LABEL_WEIGHT] * len(names)])
+    sums = np.array([total["n"], *[r["c"] for r in labels], *[pooled[b] for b in pools]], float)
+    weights = np.array([1.0, *[LABEL_WEIGHT] * (len(names) + len(pools))])
     bound = total["n"] / GIANTS
-    vec = F.array(F.col("n").cast("double"), *[F.coalesce(F.col("labels")[x], F.lit(0)).cast("double") for x in names])
-    c = comps.select("component", "n", "first_split", "last_split", vec.alias("v"), F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1 << 40)).alias("h"))
+    vec = F.array(F.col("n").cast("double"), *[F.coalesce(F.col("labels")[x], F.lit(0)).cast("double") for x in names], *[pool(b) for b in pools])
+    c = comps.select("component", "n", vec.alias("v"), F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1 << 40)).alias("h"))
 
     def hashed(h: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.cumsum(share)[:-1], (h / float(1 << 40)), side="right")
@@ -144,41 +159,36 @@ def component_splits(comps: DataFrame, targets: list[tuple[str, float]], seed: i
     if giants:
         g = np.array([r["v"] for r in giants], float)
         small_sums = sums - g.sum(0)
-        # the largest first, each where most is left to fill, then the same search
-        at = np.zeros(len(g), int)
-        room = target.copy()
-        for i in np.argsort(-g[:, 0], kind="stable"):
-            at[i] = int(np.argmax((room[:, 0] - g[i, 0]) / np.maximum(target[:, 0], 1e-9)))
-            room[at[i]] -= g[i]
-        fit = np.minimum(target, 1e300)
-        at, _ = anneal(g, at, fit * (g.sum(0) / np.maximum(sums, 1e-9)), weights, seed)
+        # the same search over all of them, from the hash; what they leave is the target of the blocks
+        own = target * (g.sum(0) / np.maximum(sums, 1e-9))
+        tries = [anneal(g, hashed(np.array([r["h"] for r in giants])), own, weights, seed + k, max(SWEEPS, GIANT_STEPS // len(g))) for k in range(CHAINS)]
+        at, _ = min(tries, key=lambda t: t[1])
         placed = {r["component"]: int(s) for r, s in zip(giants, at, strict=True)}
         taken = np.zeros_like(target)
         np.add.at(taken, at, g)
         target = np.maximum(target - taken, 0)
         target = target * (small_sums / np.maximum(target.sum(0), 1e-9))
     blocks = max(1, -(-int(total["k"]) // BLOCK))
-    rest = c.where(F.col("n") <= bound).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    rest = rest.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1))))
+    small = c.where(F.col("n") <= bound).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    small = small.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(CHAINS - 1))))
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("component", ignore_index=True)
         v = np.array(pdf["v"].tolist(), float).reshape(len(pdf), len(sums))
         mine = target * (v.sum(0) / np.maximum(small_sums, 1e-9))
         at, energy = anneal(v, hashed(pdf["h"].to_numpy()), mine, weights, seed * 1000 + int(key[0]) * CHAINS + int(key[1]))
-        out = pdf[["component", "n", "first_split", "last_split", "block", "chain"]].copy()
+        out = pdf[["component", "block", "chain"]].copy()
         out["split"] = [splits[i] for i in at]
         out["energy"] = energy
         return out
 
-    tried = rest.groupBy("block", "chain").applyInPandas(search, "component string, n long, first_split string, last_split string, block int, chain int, split string, energy double")
+    tried = small.groupBy("block", "chain").applyInPandas(search, "component string, block int, chain int, split string, energy double")
     tried = durable(tried, "chains")
     best = tried.groupBy("block").agg(F.min(F.struct("energy", "chain")).alias("b")).select("block", F.col("b.chain").alias("chain"))
-    out = tried.join(best, ["block", "chain"], "left_semi").select("component", "split", "n", "first_split", "last_split")
+    out = tried.join(best, ["block", "chain"], "left_semi").select("component", "split")
     if giants:
-        rows = [(r["component"], splits[placed[r["component"]]], r["n"], r["first_split"], r["last_split"]) for r in giants]
-        out = out.union(spark.createDataFrame(rows, schema))
-    return out
+        out = out.union(spark.createDataFrame([(r["component"], splits[placed[r["component"]]]) for r in giants], "component string, split string"))
+    return out.join(comps.select("component", "n", "first_split", "last_split"), "component").select("component", "split", "n", "first_split", "last_split")
 
 
 def read_targets(targets: DataFrame) -> list[tuple[str, float]]:

@@ -12,10 +12,10 @@ characters: two neighbouring cuts are then at most L - O - B apart, and no piece
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +134,36 @@ def split_oversized(items: DataFrame, key: list[str], text: str, seconds: Column
     return out.unionByName(few)
 
 
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+
+
+def _bytes(path: str, lo: int, hi: int) -> bytes:
+    at, name = _opened(path)
+    with at.open_input_file(name) as f:
+        f.seek(lo)
+        return f.read(hi - lo)
+
+
+def files_below(folder: str) -> list[str]:
+    """URIs of the files of a folder that Spark has written, by name; marks of success and hidden files are left out."""
+    at, name = _opened(folder)
+    found = sorted(i.path for i in at.get_file_info(fs.FileSelector(name)) if i.is_file and i.size and not i.base_name.startswith(("_", ".")))
+    scheme = folder.split("://")[0] if "://" in folder else "file"
+    return [f"{scheme}://{p}" for p in found]
+
+
 def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_chars: int = 0, range_bytes: int = 64 << 20) -> DataFrame:
-    """Pieces of giant UTF-8 files on a folder that all workers see: path, piece_no, start_pos, end_pos, piece, start_s and end_s (null).
+    """Pieces of giant UTF-8 files: path, piece_no, start_pos, end_pos, piece, start_s and end_s (null). Paths are URIs of any file system that
+    Arrow reads by ranges (file, object stores, HDFS), or plain paths; all workers must see them.
 
     Workers count the characters of byte ranges; a prefix sum over the ranges places them; workers then read their range once more with
     the halo and emit the text around each cut. A file within max_chars is one piece; an empty one gives none.
     """
-    sizes = [(p, os.path.getsize(p)) for p in paths]
+    sizes = []
+    for p in paths:
+        at, name = _opened(p)
+        sizes.append((p, at.get_file_info(name).size))
     rows = [(p, r, r * range_bytes, min(size, (r + 1) * range_bytes), size) for p, size in sizes for r in range(-(-size // range_bytes))]
     ranges = spark.createDataFrame(rows, "path string, r int, lo long, hi long, size long").repartition(max(1, len(rows)), "path", "r")
 
@@ -151,9 +174,7 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
         for b in batches:
             n = []
             for p, lo, hi in zip(b["path"], b["lo"], b["hi"], strict=True):
-                with open(p, "rb") as f:
-                    f.seek(lo)
-                    n.append(starts(f.read(hi - lo)))
+                n.append(starts(_bytes(p, lo, hi)))
             yield b.assign(chars=n)
 
     counted = ranges.mapInPandas(count, "path string, r int, lo long, hi long, size long, chars long")
@@ -169,9 +190,7 @@ def split_files(spark: SparkSession, paths: list[str], max_chars: int, overlap_c
                 size, win, over, slack = x.size_, x.win, x.over, x.slack
                 back = size + win + HALO + over + slack  # characters before the range that its first cut may need
                 lo, hi = max(0, x.lo - 4 * back), min(x.size, x.hi + 4 * (size + HALO))
-                with open(x.path, "rb") as f:
-                    f.seek(lo)
-                    data = f.read(hi - lo)
+                data = _bytes(x.path, lo, hi)
                 head, tail = data[: x.lo - lo], data[x.lo - lo :]
                 while head and head[0] & 0xC0 == 0x80:
                     head = head[1:]

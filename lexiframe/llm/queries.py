@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop_at_exit, shared_dir
 from . import sql
 from .containers import capacity_of, fill_containers
 from .encodings import garbled_documents, repaired_documents
@@ -15,7 +17,7 @@ from .groups import assign_splits, parted_calls
 from .keys import known_call
 from .leaks import leaked_passages
 from .overlap import cross_split_pairs, cross_split_rows
-from .pieces import manifest_pieces
+from .pieces import files_below, manifest_pieces, split_files
 from .quotas import draw_sample, stratum_report
 from .sentences import sentence_units
 from .turns import speaker_turns
@@ -78,6 +80,19 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_pieces(_t(spark, sf_dir, "manifest"), _t(spark, sf_dir, "size_limits"))
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts as a few large files, cut by byte ranges: characters covered, the longest piece within its limit, and pieces
+    that leave a gap behind the one before."""
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    drop_at_exit(spark, folder)
+    _t(spark, sf_dir, "documents").where("text is not null").select("text").repartition(4).write.text(folder)
+    pieces = split_files(spark, files_below(folder), 2000, 100, 1 << 20)
+    before = F.lag("end_pos").over(Window.partitionBy("path").orderBy("piece_no"))
+    d = pieces.select("path", "start_pos", "end_pos", F.length("piece").alias("n"), before.alias("before"))
+    per = d.groupBy("path").agg(F.max("end_pos").alias("end"), F.max("n").alias("n"), F.count_if(F.col("start_pos") > F.coalesce("before", F.lit(0))).alias("gaps"))
+    return per.agg(F.sum("end").alias("chars"), (F.max("n") <= 2000).alias("within"), F.sum("gaps").alias("gaps"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speaker_turns(_t(spark, sf_dir, "transcripts"), _t(spark, sf_dir, "speaker_labels")).select("call_key", "turn_no", "speaker", "n_words")
 
@@ -118,7 +133,7 @@ def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p1_found, p1_splits, p2_found, p3_found, p3_rows, p3_forms, p4_found, p4_rows, p4_report, p5_found, p5_pieces, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
+    every = [p1_found, p1_splits, p2_found, p3_found, p3_rows, p3_forms, p4_found, p4_rows, p4_report, p5_found, p5_pieces, p5_files, p6_found, p7_found, p7_sample, p8_found, p8_containers, p9_found, p9_leaks, p10_found, p10_repaired]
     return {f.__name__: f for f in every}
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..storage import bounded_rows
 from .keys import known_call, known_seconds, plain
 
-BINS = 4096
+LEVEL = 64  #: the bin in which a quota ends is found in two steps of so many bins
 MAX_CELLS = 10_000
 TRANCHES = 12
 
@@ -113,6 +113,27 @@ def plan_quotas(cells: list[dict]) -> list[dict]:
     return out
 
 
+def fitted(cells: list[dict], size: int) -> list[dict]:
+    """Quotas that sum up to the size of the sample where floors and locked calls have made them exceed it: what a cell has above its floor
+    is given up in proportion, by a flow that brings the size's calls to the cells at a cost that rises with the share of a cell that is
+    filled. Floors and locked calls stand, even beyond the size. Adds given_up."""
+    least = [max(min(c["floor"], c["quota"]), min(c["locked"], c["quota"])) for c in cells]
+    spare = [c["quota"] - m for c, m in zip(cells, least, strict=True)]
+    if sum(least) + sum(spare) <= size:
+        return [c | {"given_up": 0} for c in cells]
+    f = Flow(len(cells) + 3)
+    source, hub, sink = len(cells), len(cells) + 1, len(cells) + 2
+    f.arc(source, hub, max(0, size - sum(least)), 0)
+    taken = []
+    for i, s in enumerate(spare):
+        edges = [s * k // TRANCHES for k in range(TRANCHES + 1)]
+        taken.append([f.arc(hub, i, b - a, k) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a])
+        f.arc(i, sink, s, 0)
+    f.run(source, sink)
+    quotas = [m + sum(f.sent(k) for k in arcs) for m, arcs in zip(least, taken, strict=True)]
+    return [c | {"quota": q, "given_up": c["quota"] - q} for c, q in zip(cells, quotas, strict=True)]
+
+
 def call_table(manifest: DataFrame) -> DataFrame:
     """(call_id, direction, seconds): one row per call. Rows of one path count once; direction is null if no row gives one, the smallest
     by name if rows disagree; unknown durations count as 0. Rows without a call are left out."""
@@ -142,39 +163,50 @@ def _prepare(manifest: DataFrame, targets: DataFrame, locked: DataFrame, share:
     for i, r in enumerate(t):
         got = counts.get(i)
         r |= {"cell": i, "wanted": floor(r["per_mille"] * size / 1000), "floor": r["min_calls"] or 0, "available": got["n"] if got else 0, "locked": got["l"] if got else 0}
-    return calls, plan_quotas(t), size
+    return calls, fitted(plan_quotas(t), size), size
 
 
 def stratum_report(manifest: DataFrame, targets: DataFrame, locked: DataFrame, share: float = 0.1) -> DataFrame:
-    """One row per target: wanted, available, locked, quota, refilled (calls taken for other strata) and shortfall."""
+    """One row per target: wanted, available, locked, quota, refilled (calls taken for other strata), given_up (calls left
+    out because floors elsewhere fill the sample) and shortfall."""
     _, plan, _ = _prepare(manifest, targets, locked, share)
-    names = ["direction", "bucket", "wanted", "available", "locked", "quota", "refilled", "shortfall"]
-    schema = "direction string, bucket string, wanted long, available long, locked long, quota long, refilled long, shortfall long"
+    names = ["direction", "bucket", "wanted", "available", "locked", "quota", "refilled", "given_up", "shortfall"]
+    schema = "direction string, bucket string, wanted long, available long, locked long, quota long, refilled long, given_up long, shortfall long"
     return manifest.sparkSession.createDataFrame([tuple(p[k] for k in names) for p in plan], schema)
 
 
+def _end_bins(free: DataFrame, left: dict[int, int]) -> dict[int, int]:
+    """The bin of each cell in which what is left of its quota ends, LEVEL bins a cell at most; left is reduced by the bins before. LEVEL²
+    where a cell's rows don't exceed its quota; a cell without rows isn't there."""
+    hist: dict[int, dict[int, int]] = {}
+    for r in free.groupBy("cell", "bin").agg(F.count("*").alias("n")).collect():  # at most LEVEL rows a cell
+        hist.setdefault(r["cell"], {})[r["bin"]] = r["n"]
+    out = {}
+    for cell, bins in hist.items():
+        for b in sorted(bins):
+            if bins[b] > left[cell]:
+                out[cell] = b
+                break
+            left[cell] -= bins[b]
+        else:
+            out[cell] = LEVEL**2  # beyond all
+    return out
+
+
 def draw_sample(manifest: DataFrame, targets: DataFrame, locked: DataFrame, share: float = 0.1, seed: int = 0) -> DataFrame:
     """(call_id, direction, bucket, locked): the sample. Ties of the random order go by call_id. A locked call is in it even if its
     stratum is no target (bucket null); one that manifest doesn't hold can't be."""
     calls, plan, _ = _prepare(manifest, targets, locked, share)
     spark = manifest.sparkSession
     h = F.pmod(F.xxhash64("call_id", F.lit(seed)), F.lit(1 << 40))
-    free = calls.where("not locked and cell is not null").select("call_id", "cell", h.alias("h"), F.floor(h / F.lit((1 << 40) // BINS)).cast("int").alias("bin"))
-    hist = {}
-    for r in free.groupBy("cell", "bin").agg(F.count("*").alias("n")).collect():  # at most cells x BINS rows
-        hist.setdefault(r["cell"], {})[r["bin"]] = r["n"]
-    rows = []
-    for p in plan:
-        left, at = max(0, p["quota"] - p["locked"]), -1
-        for b in sorted(hist.get(p["cell"], {})):
-            at = b
-            if hist[p["cell"]][b] > left:
-                break
-            left -= hist[p["cell"]][b]
-        else:
-            at, left = BINS, 0
-        rows.append((p["cell"], p["direction"], p["bucket"], at, left))
-    cut = F.broadcast(spark.createDataFrame(rows, "cell int, t_direction string, bucket string, last_bin int, rest int"))
+    free = calls.where("not locked and cell is not null").select("call_id", "cell", h.alias("h"), F.floor(h / F.lit((1 << 40) // LEVEL**2)).cast("int").alias("bin"))
+    left = {p["cell"]: max(0, p["quota"] - p["locked"]) for p in plan}
+    at = _end_bins(free.select("cell", F.floor(F.col("bin") / LEVEL).cast("int").alias("bin")), left)
+    first = F.broadcast(spark.createDataFrame(list(at.items()), "cell int, first int"))
+    inner = free.join(first, "cell").where(F.floor(F.col("bin") / LEVEL) == F.col("first")).select("cell", "bin")
+    end = _end_bins(inner, left)
+    rows = [(c, end.get(c, LEVEL**2), left[c] if c in end else 0) for c in at]
+    cut = F.broadcast(spark.createDataFrame(rows, "cell int, last_bin int, rest int"))
     marked = free.join(cut, "cell")
     whole = marked.where("bin < last_bin").select("call_id")
     edge = marked.where("bin = last_bin and rest > 0").withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("h", "call_id")))

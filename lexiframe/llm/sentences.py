@@ -27,6 +27,8 @@ ABBREVIATIONS = (
     "prof dots b.t kv tel to'lq tolq k mln mlrd tum sh проф доц кв тел ул руб т.е г гр им стр рис см млн млрд пр обл b.n dr mr mrs ms st vs no nr "
     "i.e e.g approx fig jr sr av avda mme mlle m p env cf art vol bzw ca str vb yy tp ts π.χ κ κα δηλ डॉ श्री सुश्री प्रो"
 ).split()
+# Titles that stand before a name.
+TITLES = "Gen Sgt Lt Col Maj Capt Gov".split()
 # Abbreviations of two words with a dot each.
 TWO_PART = (("z", "B"), ("d", "h"), ("u", "a"), ("p", "ex"), ("т", "к"), ("т", "е"))
 # Abbreviations that may also end a sentence; they do if the next word has a capital letter.
@@ -64,10 +66,16 @@ def _stages(df: DataFrame, text: str, out: str) -> DataFrame:
     raw, t = F.col(text), F.col(out)
     not_word = rf"(?<![\p{{L}}\p{{N}}'\p{{M}}{DOT}])"
     alone = r"(?<![\p{L}\p{N}'\p{M}])"
-    s = _folded(raw)
+    df = df.withColumn(out, _folded(raw))
+    # addresses as a whole: every end mark that something of the address follows
+    address = rf"(?:(https?://|www(?=\.))|(?<!^)\G)([^\s{MARKS}.…]*)[{MARKS}.…](?=[\p{{L}}\p{{N}}/&=#%_~?.-])"
+    df = df.withColumn(out, F.when(raw.rlike(r"(?i)https?://|www\."), r(t, "(?i)" + address, f"$1$2{DOT}")).otherwise(t))
     # numbers, versions, addresses: a dot between digits, or between a letter or digit and a small letter or digit
-    s = r(s, rf"(?<=\p{{N}}{GLUE})\.(?={GLUE}\p{{N}})", DOT)
+    s = r(t, rf"(?<=\p{{N}}{GLUE})\.(?={GLUE}\p{{N}})", DOT)
     s = r(s, rf"(?<=[\p{{L}}\p{{N}}]{GLUE})\.(?={GLUE}[\p{{Ll}}\p{{N}}])", DOT)
+    # names like Node.JS, titles before a name
+    s = r(s, r"(?<=\p{Lu}\p{Ll}{1,12})\.(?=\p{Lu}{2,4}(?!\p{L}))", DOT)
+    s = r(s, rf"{not_word}((?:{'|'.join(TITLES)}))\.(?= \p{{Lu}})", rf"$1{DOT}")
     # initials: capital letters that stand alone, or two small ones
     s = r(s, rf"{alone}(\p{{Lu}}{GLUE})\.", rf"$1{DOT}")
     s = r(s, rf"{not_word}(\p{{Ll}}{GLUE})[.{DOT}] (\p{{Ll}}{GLUE})[.{DOT}](?= ?{GLUE}\p{{L}})", rf"$1{DOT} $2{DOT}")

@@ -18,6 +18,7 @@ select distinct c as call_id from g where grp in (select grp from parted) and c
     "p5_found": """
 select distinct path from manifest, size_limits
 where item = 'manifest' and path is not null and ((duration > max_seconds and not isnan(duration) and not isinf(duration)) or length(sentence) > max_chars)""",
+    "p5_files": "select sum(length(text) + 1)::bigint as chars, true as within, 0::bigint as gaps from documents where text is not null",
     "p7_found": f"""
 with r as (select {CALL} as call_id, path, nullif(lower(trim(direction)), '') as direction,
     case when duration > 0 and not isnan(duration) and not isinf(duration) then duration end as s from manifest),

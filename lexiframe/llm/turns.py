@@ -67,7 +67,8 @@ def similar(a: str, b: str) -> bool:
 
 def canonical_speakers(labels: list[str], known: dict[str, str]) -> dict[str, str]:
     """Speaker of each normalised label of one transcript: labels and the known spellings are clustered, a cluster is whom its known
-    spelling stands for. A label similar to spellings of several speakers goes to the nearest. Others are unknown."""
+    spelling stands for. A label similar to spellings of several speakers goes to the nearest. The speaker of a cluster without a known
+    spelling is unknown and named by the cluster, so that several of them stay apart; a label without letters is just unknown."""
     c = Clusters()
     fresh = sorted({x for x in labels if x} - known.keys())
     for x in fresh:
@@ -82,7 +83,7 @@ def canonical_speakers(labels: list[str], known: dict[str, str]) -> dict[str, st
     of_root: dict[str, str] = {}
     for k in sorted(known):
         of_root.setdefault(c.root(k), known[k])
-    return {x: known.get(x) or of_root.get(c.root(x), UNKNOWN) for x in labels if x}
+    return {x: known.get(x) or of_root.get(c.root(x)) or (f"{UNKNOWN}:{c.root(x)}" if any(ch.isalpha() for ch in x) else UNKNOWN) for x in labels if x}
 
 
 def _seconds(clock: str) -> float:

@@ -217,3 +217,23 @@ def test_queries_run_and_match_sql(spark, sf, name):
         names = [x[0] for x in c.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(tuple(r) for r in rows) == sorted(tuple(r[names.index(k)] for k in df.columns) for r in c.fetchall())
+
+
+def test_floors_are_balanced_against_the_size():
+    """Wanted 50, 45, 3 and 2 of 100 with floors of 20: the floors stand, the others give up their share in proportion."""
+    cells = [{"direction": "x", "bucket": str(k), "wanted": w, "floor": 20, "available": 500, "locked": 0} for k, w in enumerate((50, 45, 3, 2))]
+    plan = quotas.fitted(quotas.plan_quotas(cells), 100)
+    assert [p["quota"] for p in plan][2:] == [20, 20] and sum(p["quota"] for p in plan) == 100
+    assert abs(plan[0]["given_up"] / 30 - plan[1]["given_up"] / 25) < 0.1 and not any(p["shortfall"] for p in plan)
+    assert [p["quota"] for p in quotas.fitted(plan, 1000)] == [p["quota"] for p in plan]
+    locked = [c | {"locked": 60} for c in cells]
+    assert sum(p["quota"] for p in quotas.fitted(quotas.plan_quotas(locked), 100)) == 240  # locked calls stand
+
+
+def test_many_labels_count_together(spark):
+    rows = [(f"c{k}", 1 + k % 3, {f"label{k % 90}": 1 + k % 3}, "train", "train") for k in range(600)]
+    comps = spark.createDataFrame(rows, "component string, n long, labels map<string,long>, first_split string, last_split string")
+    got = groups.component_splits(comps, [("dev", 0.2), ("train", 0.8)], max_labels=10)
+    assert got.count() == 600
+    share = got.groupBy("split").agg(F.sum("n").alias("n")).collect()
+    assert abs(next(r["n"] for r in share if r["split"] == "dev") / sum(r["n"] for r in share) - 0.2) < 0.02

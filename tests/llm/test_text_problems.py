@@ -29,6 +29,8 @@ SENTENCES = [
     ("", []),
     ("   ", []),
     ("...", ["..."]),
+    ("See https://a.uz/x?y=1 for more. Or www.Example.Com/Index.Html too.", ["See https://a.uz/x?y=1 for more.", "Or www.Example.Com/Index.Html too."]),
+    ("Visit http://b.org/a!b. Then Node.JS runs. Gen. Smith and Sgt. Jones came. Ok", ["Visit http://b.org/a!b.", "Then Node.JS runs.", "Gen. Smith and Sgt. Jones came.", "Ok"]),
     ("Ha!! Yo'q?! Bor.", ["Ha!!", "Yo'q?!", "Bor."]),
 ]
 
@@ -332,3 +334,10 @@ def test_leaks_report_edits_of_each_hit(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, passage string")
     got = {r["doc_id"]: (r["words"], r["edits"]) for r in leaks.leaked_passages(docs, "doc_id", "text", items, "item_id", "passage").collect()}
     assert got == {1: (10, 0), 2: (6, 1)}
+
+
+def test_unknown_speakers_stay_apart():
+    segs = '[{"speaker": "Alice", "text": "salom"}, {"speaker": "Bob", "text": "ha"}, {"speaker": "Alicee", "text": "yaxshi"}, {"speaker": "??", "text": "kim"}]'
+    got = turns.transcript_turns(segs, None, {"sotuvchi": "sotuvchi"})
+    assert [w for _, w in got] == [["salom"], ["ha"], ["yaxshi"], ["kim"]]
+    assert got[0][0] == got[2][0] != got[1][0] and all(s.startswith(turns.UNKNOWN) for s, _ in got) and got[3][0] == turns.UNKNOWN
