@@ -2,6 +2,17 @@
 
 CALL = "coalesce(call_id, try_cast(nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^([0-9]+)', 1), '') as bigint))"
 
+#: Words for the search of leaks: composed, small, without stress marks and invisible characters; apostrophes in words and points in numbers fall out.
+CLEAN = r"regexp_replace(lower(nfc_normalize(lower({0}))), '[\x{301}\x{ad}\x{200b}-\x{200d}\x{2060}\x{feff}]', '', 'g')"
+for _ in range(2):  # twice: RE2 has no look-around, and matches take turns
+    CLEAN = rf"regexp_replace({CLEAN}, '([\p{{L}}\p{{N}}\p{{M}}])[''’‘ʻʼ`´ʹ]+([\p{{L}}\p{{N}}\p{{M}}])', '\1\2', 'g')"
+    CLEAN = rf"regexp_replace({CLEAN}, '(\p{{Nd}})[.,](\p{{Nd}})', '\1\2', 'g')"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({CLEAN.replace('{0}', text).replace('{{0}}', text)}, '[\p{{L}}\p{{N}}\p{{M}}]+')"
+
+
 ORACLES = {
     "p1_found": f"""
 with recursive m as (
@@ -29,4 +40,8 @@ select t.direction, t.bucket from sample_targets t, n
 where (select count(*) from c where c.direction = t.direction and c.s >= t.min_seconds and (t.max_seconds is null or c.s < t.max_seconds))
     < greatest(t.min_calls, t.per_mille * n.n // 1000)""",
     "p8_found": "select distinct doc_id from documents, size_limits where item = 'documents' and strlen(text) + 1 > max_tokens",
+    "p9_found": f"""
+with l as (select 'i' as kind, item_id as id, {_words('passage')} as w from heldout_items where passage is not null union all select 'd', doc_id, {_words('text')} from documents where text is not null),
+g as (select kind, id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as g from l where len(w) >= 10)
+select distinct a.id as item_id, b.id as doc_id from g a join g b using (g) where a.kind = 'i' and b.kind = 'd'""",
 }
