@@ -154,7 +154,16 @@ def duration_quartiles(spark, sf_dir):
     return splits.quartile(table(spark, sf_dir, "eval_calls_120").select("call_id", "batch", "duration"), ["batch"], ["duration", "call_id"]).select("call_id", "batch", "quartile")
 
 
-@query()
+@query(f"""with {KNOWN}, l as (select call_id, min(lead_id) as lead_id from m group by 1),
+c as (select e.call_id, batch, coalesce(direction, '?') as direction, duration, locked, lead_id from eval_calls_120 e left join l using (call_id)),
+s as (select batch, direction, count(*) as n, count(*) filter (locked) as have from c group by 1, 2), g0 as (select *, round_even(50 * n / sum(n) over (), 0)::bigint as g from s),
+g as (select *, g + case when row_number() over (order by n desc, batch, direction) = 1 then 50 - sum(g) over () else 0 end as goal from g0),
+q0 as (select *, row_number() over (partition by batch, direction order by duration nulls first, call_id) - 1 as k, greatest(1, count(*) over (partition by batch, direction) // 4) as q from c where not locked),
+q as (select *, least(k // q, 4) as quartile, {md5_rank('call_id', 11)} as h from q0),
+a as (select *, lead_id is not null and row_number() over (partition by batch, direction, quartile, lead_id order by h, call_id) > 1 as again from q),
+p as (select *, row_number() over (partition by batch, direction, quartile order by again, h, call_id) as pick from a),
+o as (select *, row_number() over (partition by batch, direction order by quartile = 4, pick, quartile, call_id) as o from p)
+select call_id, batch, direction, locked from o join g using (batch, direction) where o <= goal - have union all select call_id, batch, direction, locked from c where locked""")
 def stratified_eval_sample(spark, sf_dir):
     c = table(spark, sf_dir, "eval_calls_120").select("call_id", "batch", F.coalesce("direction", F.lit("?")).alias("direction"), "duration", "locked")
     leads = known_manifest(spark, sf_dir).groupBy("call_id").agg(F.min("lead_id").alias("lead_id"))

@@ -122,7 +122,7 @@ def long_sample_plans(spark, sf_dir):
     """The second cut planner over all samples above 30 s; silences stand in every two seconds."""
     m = known_manifest(spark, sf_dir).where("duration > 30")
     runs = F.transform(F.sequence(F.lit(1), F.floor(F.col("duration") / 2).cast("int")), lambda i: F.struct((i * 2.0 - 0.2).alias("start"), (i * 2.0 + 0.2).alias("end")))
-    p = m.select("path", chunking.planned(runs, sentence_ends(F.col("sentence")), F.col("sentence"), F.col("duration")).alias("p"))
+    p = m.select("path", chunking.planned(runs, sentence_ends(F.col("sentence")), F.col("sentence"), F.col("duration"), voiced=True).alias("p"))
     return p.select("path", F.size("p.pieces").alias("pieces"), "p.why")
 
 

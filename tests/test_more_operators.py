@@ -93,7 +93,7 @@ def test_planners_as_columns(spark):
     runs = [(k * 2.0 - 0.2, k * 2.0 + 0.2) for k in range(1, 27)]
     bounds = [i + 1 for i, c in enumerate(text) if c == "."]
     d = spark.createDataFrame([(runs, bounds, text, 55.0), (None, None, None, None)], "r array<struct<start: double, end: double>>, b array<int>, t string, d double").repartition(1)
-    out = d.select(chunking.planned(F.col("r"), F.col("b"), F.col("t"), F.col("d"), chunking.voiced_between(F.col("r"), F.col("d"))).alias("p"), chunking.planned_equal(F.col("r"), F.col("b"), F.col("t"), F.col("d")).alias("e")).collect()
+    out = d.select(chunking.planned(F.col("r"), F.col("b"), F.col("t"), F.col("d"), voiced=True).alias("p"), chunking.planned_equal(F.col("r"), F.col("b"), F.col("t"), F.col("d")).alias("e")).collect()
     assert "".join(x["text"] for x in out[0]["p"]["pieces"]).replace(" ", "") == text.replace(" ", "")
     assert out[1]["p"]["pieces"] is None and out[1]["e"] is None
     words = [f"soz{k}" for k in range(120)]
