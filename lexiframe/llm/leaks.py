@@ -25,14 +25,15 @@ WINDOW = 10  #: words of a window
 BUDGET = 1  #: edits of letters allowed in a window
 BLOCK = 16 << 20  #: characters of test items per pass over the corpus, about
 _JOINED = "'’‘ʻʼ`´ʹ"
-_MARKS = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M")
+_FAR_MARKS = "".join(chr(c) for c in range(0x10000, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M")
 _UNSEEN = "\u0301\u00ad\u200b\u200c\u200d\u2060\ufeff"  #: stress marks that nothing composes with, and invisible characters
-_GONE = str.maketrans("", "", _UNSEEN)
 _PLAIN = r"[^\W_]+"
-_MARKED = rf"(?:[^\W_]+|[{_MARKS}]+)+"
+_MARKED, _FAR_MARKED = rf"(?:[^\W_]+|[{_MARKS}]+)+", rf"(?:[^\W_]+|[{_MARKS}]+|[{_FAR_MARKS}]+)+"
 _REST = r"(?:[{j}]+{w}|(?<=\d)[.,](?=\d)\d+)*"
-_WORD, _MARKED_WORD = (re.compile(w + _REST.format(j=_JOINED, w=w)) for w in (_PLAIN, _MARKED))
-_HAS_MARK = re.compile(f"[{_MARKS}]")
+_WORD, _MARKED_WORD, _FAR_WORD = (re.compile(w + _REST.format(j=_JOINED, w=w)) for w in (_PLAIN, _MARKED, _FAR_MARKED))
+#: A class within the first plane is a bitmap, one beyond it a list that is walked for each character: texts with far characters go apart.
+_HAS_MARK, _HAS_FAR = re.compile(f"[{_MARKS}]"), re.compile("[\U00010000-\U0010ffff]")
 _DROP = str.maketrans("", "", _JOINED + ".,")
 _DROPPED = re.compile(r"['`]|\d[.,]\d")  #: what of _DROP an ASCII word may hold
 
@@ -43,8 +44,11 @@ def words_of(text: str) -> list[str]:
     low = text.lower()
     if low.isascii():
         return _WORD.findall(low) if not _DROPPED.search(low) else [x.translate(_DROP) for x in _WORD.findall(low)]
-    low = unicodedata.normalize("NFC", low).translate(_GONE)
-    found = (_MARKED_WORD if _HAS_MARK.search(low) else _WORD).findall(low)
+    low = unicodedata.normalize("NFC", low)
+    for c in _UNSEEN:
+        if c in low:
+            low = low.replace(c, "")
+    found = (_FAR_WORD if _HAS_FAR.search(low) else _MARKED_WORD if _HAS_MARK.search(low) else _WORD).findall(low)
     return [w for w in (x.translate(_DROP) for x in found) if w]
 
 

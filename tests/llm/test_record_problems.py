@@ -211,7 +211,7 @@ def test_queries_run_and_match_sql(spark, sf, name):
     sql = queries.oracle_sql().get(name)
     if sql:
         c = duckdb.connect()
-        for t in ("manifest", "split_targets", "size_limits", "sample_targets", "eval_calls_120", "documents"):
+        for t in ("manifest", "split_targets", "size_limits", "sample_targets", "eval_calls_120", "documents", "heldout_items"):
             c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         c.execute(sql)
         names = [x[0] for x in c.description]

@@ -206,7 +206,7 @@ def test_overlap_rows_count_links(spark):
         (None, "00:01 [mijoz] Ha bor\nsotuvchi:\nYo'q e-e\n(0:09) cliennt - Mayli ♪", [("mijoz", 2), ("sotuvchi", 1), ("mijoz", 1)]),
         ("[]", "oddiy gap", [("nomalum", 2)]),
         ("broken", None, []),
-        ('[{"text": "?"}, {"role": "Karim", "text": "gap"}, "x", {"role": "mijoz"}]', None, [("nomalum", 1)]),
+        ('[{"text": "?"}, {"role": "Karim", "text": "gap"}, "x", {"role": "mijoz"}]', None, [("nomalum:karim", 1)]),
     ],
 )
 def test_turns(segments, full, want):
